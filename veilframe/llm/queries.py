@@ -8,11 +8,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm.conversations import rebuild_conversations
 from veilframe.llm.lookalikes import lookalike_pairs
-from veilframe.session import table
+from veilframe.llm.overlap import cross_split_overlaps, overlap_report
+from veilframe.llm.restatements import restatement_groups, restatement_pairs
+from veilframe.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "dev_negatives").select("rec_id", "text").unionByName(table(spark, sf_dir, "test_negatives").select("rec_id", "text"))
+    return cross_split_overlaps(table(spark, sf_dir, "train_negatives"), ev)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(spark, sf_dir).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    splits = {s: table(spark, sf_dir, f"{s}_negatives") for s in ("dev", "test")}
+    return overlap_report(written(_overlaps(spark, sf_dir)), splits, table(spark, sf_dir, "train_negatives"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "ru_training_data").select("rec_id", "text").unionByName(table(spark, sf_dir, "dev_negatives").select("rec_id", "text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restatement_pairs(_records(spark, sf_dir)).select("id_a", "id_b")
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return restatement_groups(_records(spark, sf_dir))
+
+
 def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebuild_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
 
@@ -54,5 +82,5 @@ select cast(conversation_id as bigint) as conversation_id, turn_no, cast(id as b
 from n where conversation_id in (select conversation_id from k) and conversation_id in (select id from conversations)
 """
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found}
 ORACLE: dict[str, str] = {"p2_found": P2_FOUND_SQL}
