@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm.conversations import rebuild_conversations
+from veilframe.llm.languages import document_languages, found_languages
 from veilframe.llm.lookalikes import lookalike_pairs
 from veilframe.llm.overlap import cross_split_overlaps, overlap_report
 from veilframe.llm.restatements import restatement_groups, restatement_pairs
@@ -61,6 +62,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "messages"), "id", "content")
 
 
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and status of every document, with its segments."""
+    return document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_languages(p9_documents(spark, sf_dir))
+
+
 P2_FOUND_SQL = r"""
 with m as (
   select *, row_number() over (partition by id order by updated_at desc nulls last) as copy,
@@ -82,5 +92,5 @@ select cast(conversation_id as bigint) as conversation_id, turn_no, cast(id as b
 from n where conversation_id in (select conversation_id from k) and conversation_id in (select id from conversations)
 """
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p9_found": p9_found, "p9_documents": p9_documents}
 ORACLE: dict[str, str] = {"p2_found": P2_FOUND_SQL}
