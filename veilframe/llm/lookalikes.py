@@ -9,6 +9,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from veilframe.session import written
+
 #: Letters of two scripts that look the same (Latin, Cyrillic).
 LATIN_CYRILLIC = (
     "aа", "cс", "eе", "iі", "jј", "oо", "pр", "sѕ", "xх", "yу", "hһ", "dԁ", "qԛ", "wԝ", "ëё", "ïї",
@@ -122,6 +124,12 @@ def _fixed_spelling(token: str) -> tuple[str | None, str]:
     return None, ""  # a whole-script confusable
 
 
+#: Characters that _base_table changes, or that composition may change.
+_CHANGED = re.compile("[" + "".join(re.escape(chr(n)) for n in sorted(_BASE) if n < 0xFE00) + "\u0300-\u036f\u1100-\u11ff\ufe00-\uffef\U000e0100-\U000e01ef]")
+#: What a text has none of if it stays as it is: other letters than Cyrillic ones, and Cyrillic letters beside digits.
+_OPEN = re.compile(r"[^\x00-@\[-`{-~\xab\xbb\u0400-\u045f\u2013\u2014\u2116\u2026\u20bd]|[\u0400-\u045f][0-9]|[0-9][\u0400-\u045f]")
+
+
 def consistent_form(text: str | None) -> str | None:
     """The form in which texts of the same look are equal.
 
@@ -133,9 +141,11 @@ def consistent_form(text: str | None) -> str | None:
     codes do, else the script of most settled tokens of the text, Cyrillic on a tie; this depends
     on the look alone, so equal looks give equal forms. Idempotent.
     """
-    if text is None or text.isascii():
+    if text is None or text.isascii() or not _OPEN.search(text):
         return text
-    t = text.translate(_BASE)
+    t = text
+    if _CHANGED.search(t):
+        t = t.translate(_BASE)
     if _ZWJ in t:
         t = _JOINER.sub("", t)
     t = unicodedata.normalize("NFC", t)
@@ -195,7 +205,9 @@ def lookalike_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("raw")).filter("id is not null and raw is not null")
     rows = rows.withColumn("form", consistent("raw")).filter(F.col("form").rlike(r"[^\s]"))
-    rows = rows.select("id", F.xxhash64("raw").alias("raw_h"), F.xxhash64(F.lit(1), F.col("raw")).alias("raw_g"), F.sha2("form", 256).alias("form_h"))
+    # Written, so that the forms are computed once for both uses.
+    rows = rows.select("id", F.xxhash64("raw").alias("raw_h"), F.xxhash64(F.lit(1), F.col("raw")).alias("raw_g"), F.md5("form").alias("form_h"))
+    rows = written(rows, "forms")
     keys = rows.groupBy("form_h").agg(F.min("raw_h").alias("lo"), F.max("raw_h").alias("hi"), F.min("raw_g").alias("lo2"), F.max("raw_g").alias("hi2"))
     keys = keys.filter("lo <> hi or lo2 <> hi2").select("form_h")
     near = rows.join(keys, "form_h", "left_semi").distinct()
