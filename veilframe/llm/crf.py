@@ -82,7 +82,7 @@ def _unary(feats: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features: int, skips: list[list[tuple[int, int]]], epochs: int = 6, batch: int = 64, rate: float = 0.3, l2: float = 1e-6) -> CRF:
-    """Piecewise maximum likelihood: the chain by adaptive gradient steps, the skip weight from how far types agree over skip links.
+    """Piecewise maximum likelihood: the chain by adaptive gradient steps, the skip weight from how much more often types agree over skip links than those of their ends by chance.
 
     Feature 0 is the absent one. Documents are taken in the order given, so the fit is repeatable.
     """
@@ -132,7 +132,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
     ty = model.types
     same = [ty[docs[d][1][i]] == ty[docs[d][1][j]] for d, links in enumerate(skips) for i, j in links]
     if same:
-        base = np.bincount(np.concatenate([ty[y] for _, y in docs]))
+        ends = [ty[docs[d][1][k]] for d, links in enumerate(skips) for link in links for k in link]
+        base = np.bincount(ends) + 0.5
         by_chance = ((base / base.sum()) ** 2).sum()
         agree = (sum(same) + 1) / (len(same) + 2)
         model.skip = float(np.clip(np.log(agree / (1 - agree)) - np.log(by_chance / (1 - by_chance)), 0.0, 4.0))

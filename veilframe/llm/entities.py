@@ -29,9 +29,13 @@ _LONGEST = 400  # tokens of one chain; longer texts are cut at sentence ends, el
 _S = r"[ \t]"
 _SEP = r"[ \t.()\-–—]{0,3}"
 #: Shapes of numbers and addresses of mail; the name says the shape, not the meaning.
+_MAIL = re.compile(
+    rf"(?P<mail>[\w.+\-]+{_S}*(?:@|\((?:собака|at)\)|\[(?:собака|at)\]|\bсобака\b|\bat\b){_S}*[\w\-]+(?:{_S}*(?:\.|\((?:точка|dot)\)|\[(?:точка|dot)\]|\bточка\b|\bdot\b){_S}*[A-Za-zА-Яа-я\-]{{2,}})+)",
+    re.IGNORECASE,
+)
+_MAIL_SIGN = re.compile(r"@|\bсобака\b|[(\[ ](?:at|AT|At)[)\] ]", re.IGNORECASE)
 _FORMS = re.compile(
-    "|".join((
-        rf"(?P<mail>[\w.+\-]+{_S}*(?:@|\((?:собака|at)\)|\[(?:собака|at)\]|\bсобака\b|\bat\b){_S}*[\w\-]+(?:{_S}*(?:\.|\((?:точка|dot)\)|\[(?:точка|dot)\]|\bточка\b|\bdot\b){_S}*[A-Za-zА-Яа-я\-]{{2,}})+)",
+    "(?=[0-9+])(?:" + "|".join((
         rf"(?P<card>(?<!\d)\d{{4}}(?P<cs>[ .\-]{{0,2}})\d{{4}}(?P=cs)\d{{4}}(?P=cs)\d{{4}}(?!\d))",
         rf"(?P<plus>\+{_S}?\d(?:{_SEP}\d){{9,13}}(?!\d))",
         r"(?P<date>(?<!\d)(?:\d{1,2}[./\-]\d{1,2}[./\-](?:19|20)\d\d|(?:19|20)\d\d-\d\d-\d\d|\d{1,2} (?:янв|фев|мар|апр|ма[йя]|июн|июл|авг|сен|окт|ноя|дек)[а-я]* (?:19|20)\d\d(?: ?г(?:\.|ода?)?)?)(?!\d))",
@@ -43,8 +47,8 @@ _FORMS = re.compile(
         r"(?P<g2268>(?<!\d)\d\d-\d\d-\d{6}(?:\d\d)?(?!\d))",
         r"(?P<g46>(?<!\d)\d{4}[ \-]\d{6}(?!\d))",
         r"(?P<g48>(?<!\d)\d{4} \d{8}(?!\d))",
-        r"(?P<n>(?<![\d.,\-/:])\d{5,}(?![\d]))",
-    )),
+        r"(?P<n>(?<![\d.,\-/:])[0-9]{5,}(?![0-9]))",
+    )) + ")",
     re.IGNORECASE,
 )
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_")
@@ -122,6 +126,9 @@ def analyse(text: str, known: frozenset[str], memo: dict[str, tuple], names: fro
     forms: dict[int, str] = {}
     spans, classes, words = [], [], []
     hits = [(m.start(), m.end(), m.lastgroup) for m in _FORMS.finditer(text)]
+    if _MAIL_SIGN.search(text):
+        mails = [(m.start(), m.end(), "mail") for m in _MAIL.finditer(text)]
+        hits = sorted(mails + [h for h in hits if not any(a < h[1] and h[0] < b for a, b, _ in mails)])
     k = 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
@@ -458,6 +465,14 @@ My card {CREDIT_CARD|4000-0014-5870-4392} was declined
 вот данные {PERSON|Соколов Юрий Семёнович} {DATE_OF_BIRTH|27/09/2004} {SNILS|92830076709}
 вот данные {PERSON|Соколова Анна Семёновна} {DATE_OF_BIRTH|27 июля 1974 г.} {SNILS|928-300-767 09}
 {PERSON|Захар Борисович Соколов} {PHONE_NUMBER|+44 04 0420 452} {EMAIL_ADDRESS|sofya.sokolova@yashik.example}
+{PERSON|Соколова Жанна}, {ADDRESS|г. Заречье, ул. Садовая, д. 32, кв. 22}, {PHONE_NUMBER|+7.966.032.92.58}
+{PERSON|Тамара Соколова}, {ADDRESS|Садовый переулок, дом 121}, {PHONE_NUMBER|+79190300397}
+{PERSON|Соколов Артём}, {ADDRESS|б-р Садовый, 107/4}, {PHONE_NUMBER|89470320302}
+Адрес изменился: {ADDRESS|б-р Садовый, 134/1}. Заказ {n7}
+Отправили письмо на {EMAIL_ADDRESS|t.sokolov@pochta.example}.
+{PERSON|Зимина Вера} пишет третий день. Прошу ответить, {PERSON|Зимина Вера}
+Звонил {PERSON|Пётр Зимин}, просил передать: {PERSON|Пётр Зимин} ждёт ответа
+Товар Вектор не пришёл, магазин обещал, что Вектор будет завтра
 {PERSON|Анна Соколова} {PHONE_NUMBER|8 904 042 04 52} {EMAIL_ADDRESS|sofya77 собака yashik точка example}
 {PERSON|Ульяна Соколова}, ваша заявка {n7} оформлена.
 {PERSON|СОКОЛОВА ЗОЯ ДЕНИСОВНА}, ваша заявка {n7} оформлена.
@@ -518,18 +533,37 @@ _FILL = {
 }
 
 
-def written_examples() -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The sentences of WRITTEN, each with every filling, with spans."""
+#: Other forms of the marked values of WRITTEN, which take turns. Inflected names keep the written form.
+_FORMS_OF = {
+    "PERSON": ("Соколов Олег", "Анна Петровна Соколова", "Соколова А. Б.", "И.П. Соколов", "СОКОЛОВ ИЛЬЯ ПЕТРОВИЧ", "мария соколова", "Зимина Вера", "Пётр Зимин", "Зимина Вера Олеговна", "Вера Олеговна", "О. Зимин", "Зимин П. О."),
+    "PHONE_NUMBER": ("79130685109", "89470320302", "+79190300397", "8-929-055-05-95", "8(931)072-31-89", "+7 927–051–05–79", "+7.978.055.08.25", "+7 985 092-43-58", "8 915 035 75 99", "+7 (912) 0369487", "967-040-15-82", "+7 ( 976 ) 068 - 16 - 39", "+49 09 0232 736", "+998 63 0484 403"),
+    "SNILS": ("71182647893", "79081912130", "92830076709", "85911490753", "732-617-536 96", "744 136 444 91", "807.442.116-83"),
+    "INN": ("7707083893", "964182196147", "98-95-315989", "98-95-77680951", "9697 006844", "9688 47114144", "6315004400"),
+    "PASSPORT": ("9691083705", "9694 128169", "9628-449288", "9890№834199", "96 83 422657", "серия 9613 номер 524209", "серии 98 14 № 645 198", "4510 123456"),
+    "DATE_OF_BIRTH": ("09.01.1983", "13-05-1969", "25/02/1960", "1955-08-17", "27 июля 1974 г.", "2 декабря 1986 года", "8 марта 2001 г.", "11.11.2004"),
+    "CREDIT_CARD": ("4000 0014 5870 4392", "4000-0014-5870-4392", "4000.0014.5870.4392", "4000001458704392", "5100  0067  7714  3947"),
+    "EMAIL_ADDRESS": ("sokolov_egor @ pochta . example", "sokolov-511[at]box[dot]example", "e.sokolov (собака) firma точка example", "sokolov56 собака inbox точка invalid", "LOKOT61@BOX.EXAMPLE", "zimin.petr@mail.test", "zimin-p (at) mail (dot) test"),
+    "ADDRESS": ("б-р Садовый, 12/3", "630100, Заречье, Садовая улица 38, оф. 21", "Заречье, Садовая наб., д.13 под.3 эт.6", "г. Заречье, ул. Садовая, д. 47, кв. 23", "ул Садовая 51-76", "Садовый переулок, дом 59", "город заречье улица садовая дом 117 квартира 125", "пос. Заречье, пер. Садовый, 79в", "проспект Садовый, 81 корп 2, квартира 213"),
+}
+_INFLECTED = frozenset(("М. Соколовой", "Соколовой", "Соколову"))
+
+
+def written_examples(forms: int = 6) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """The sentences of WRITTEN with spans, each with several fillings and forms of its values."""
     out = []
+    turn = dict.fromkeys(_FORMS_OF, 0)
     for line in WRITTEN.strip().split("\n"):
-        for k in range(3):
+        for k in range(forms):
             text, spans = "", []
             for part in re.split(r"(\{[^}]*\})", line.replace("\\n", "\n")):
                 if part[:1] == "{":
                     kind, _, value = part[1:-1].partition("|")
+                    if value and k and value not in _INFLECTED and (kind != "ADDRESS" or not value.isascii()):
+                        value = _FORMS_OF[kind][turn[kind] % len(_FORMS_OF[kind])]
+                        turn[kind] += 1
                     if value:
                         spans.append((len(text), len(text) + len(value), kind))
-                    text += value or _FILL[kind][k]
+                    text += value or _FILL[kind][k % 3]
                 else:
                     text += part
             out.append((text, spans))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from veilframe.llm.conversations import rebuild_conversations
+from veilframe.llm.entities import find_personal_data, fit, labelled_examples
 from veilframe.llm.languages import document_languages, found_languages
 from veilframe.llm.lookalikes import lookalike_pairs
 from veilframe.llm.overlap import cross_split_overlaps, overlap_report
@@ -62,6 +63,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "messages"), "id", "content")
 
 
+def _tagger(spark: SparkSession, sf_dir: str):
+    return fit(labelled_examples(table(spark, sf_dir, "ru_training_data"), table(spark, sf_dir, "train_negatives")))
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each field of messages and contacts in which something was found, with placeholders in its place, and the spans."""
+    tagger = _tagger(spark, sf_dir)
+    m = find_personal_data(table(spark, sf_dir, "messages"), "id", ["content"], tagger).withColumn("src_table", F.lit("messages"))
+    c = find_personal_data(table(spark, sf_dir, "contacts"), "id", ["name", "email", "phone"], tagger).withColumn("src_table", F.lit("contacts"))
+    return m.unionByName(c).select("src_table", F.col("field").alias("src_field"), "row_id", "masked", "spans")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity_type"]))).alias("entity_type")
+    return p6_masked(spark, sf_dir).select("src_table", "src_field", "row_id", kinds).distinct()
+
+
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, confidence and status of every document, with its segments."""
     return document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
@@ -92,5 +110,5 @@ select cast(conversation_id as bigint) as conversation_id, turn_no, cast(id as b
 from n where conversation_id in (select conversation_id from k) and conversation_id in (select id from conversations)
 """
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_documents": p9_documents}
 ORACLE: dict[str, str] = {"p2_found": P2_FOUND_SQL}
