@@ -10,8 +10,11 @@ from veilframe.llm.conversations import rebuild_conversations
 from veilframe.llm.entities import find_personal_data, fit, labelled_examples
 from veilframe.llm.languages import document_languages, found_languages
 from veilframe.llm.lookalikes import lookalike_pairs
+from veilframe.llm.mixing import mix_report, mix_sources
 from veilframe.llm.overlap import cross_split_overlaps, overlap_report
+from veilframe.llm.packing import pack_documents, packing_report, sized_documents
 from veilframe.llm.restatements import restatement_groups, restatement_pairs
+from veilframe.llm.tokens import token_count
 from veilframe.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +83,23 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_masked(spark, sf_dir).select("src_table", "src_field", "row_id", kinds).distinct()
 
 
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(sized_documents(table(spark, sf_dir, "documents")), table(spark, sf_dir, "containers"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p7_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
+    return mix_sources(docs, table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(written(p8_mix(spark, sf_dir), "mix"), table(spark, sf_dir, "mix_targets"))
+
+
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language, confidence and status of every document, with its segments."""
     return document_languages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_codes"))
@@ -110,5 +130,5 @@ select cast(conversation_id as bigint) as conversation_id, turn_no, cast(id as b
 from n where conversation_id in (select conversation_id from k) and conversation_id in (select id from conversations)
 """
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p6_found": p6_found, "p6_masked": p6_masked, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p6_found": p6_found, "p6_masked": p6_masked, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_documents": p9_documents}
 ORACLE: dict[str, str] = {"p2_found": P2_FOUND_SQL}
