@@ -130,41 +130,41 @@ def analyse(text: str, known: frozenset[str], memo: dict[str, tuple], names: fro
         mails = [(m.start(), m.end(), "mail") for m in _MAIL.finditer(text)]
         hits = sorted(mails + [h for h in hits if not any(a < h[1] and h[0] < b for a, b, _ in mails)])
     k = 0
+    n_hits, end = len(hits), 0
     for m in _TOKEN.finditer(text):
         a, b = m.span()
         w = m.group()
-        while k < len(hits) and hits[k][1] <= a:
-            k += 1
-        form, pos = "", ""
-        if k < len(hits) and hits[k][0] <= a:
-            h = hits[k]
-            form, pos = h[2], "B" if a == h[0] or not spans or spans[-1][1] <= h[0] else "I"
-            if form == "n":
-                form = f"n{min(b - a, 20)}"
-                if b - a in (10, 11):
-                    form += "p" if w[0] in "78" and w[1] == "9" or b - a == 10 and w[0] == "9" and w[1] not in "68" else ""
-            if form == "date" and pos == "B":
-                y = re.search(r"(?:19|20)\d\d", text[h[0] : h[1]])
-                form = "date_old" if y and int(y.group()) < 2008 else "date_new"
-                forms[h[0]] = form
-            elif form == "date":
-                form = forms.get(h[0], "date_new")
-        if w[0].isdigit():
-            c = ("#", str(min(len(w), 7)), "", form, pos)
-        elif w[0].isalpha():
-            c = memo.get(w)
-            if c is None:
-                c = memo[w] = _word_class(w, known, names)
-            if form or pos:
-                c = (*c, form, pos)
+        form = pos = ""
+        if n_hits:
+            while k < n_hits and hits[k][1] <= a:
+                k += 1
+            if k < n_hits and hits[k][0] <= a:
+                h = hits[k]
+                form, pos = h[2], "B" if a == h[0] or end <= h[0] else "I"
+                if form == "n":
+                    form = f"n{min(b - a, 20)}"
+                    if b - a in (10, 11):
+                        form += "p" if w[0] in "78" and w[1] == "9" or b - a == 10 and w[0] == "9" and w[1] not in "68" else ""
+                elif form == "date":
+                    if pos == "B":
+                        y = re.search(r"(?:19|20)\d\d", text[h[0] : h[1]])
+                        forms[h[0]] = "date_old" if y and int(y.group()) < 2008 else "date_new"
+                    form = forms.get(h[0], "date_new")
+        c = memo.get(w)
+        if c is None:
+            if w[0].isalpha():
+                c = (*_word_class(w, known, names), "", "")
+            elif w[0].isdigit():
+                c = ("#", str(min(len(w), 7)), "", "", "")
             else:
-                c = (*c, "", "")
-        else:
-            c = (w, "", "", form, pos)
-        gap = spans and a > spans[-1][1]
+                c = (w, "", "", "", "")
+            memo[w] = c
+        if form:
+            c = (*c[:3], form, pos)
+        classes.append((c, a > end > 0))
         spans.append((a, b))
-        classes.append((c, bool(gap)))
         words.append(w)
+        end = b
     return Sentence(spans, tuple(classes), words)
 
 
@@ -284,12 +284,20 @@ class Tagger:
     names: frozenset[str]
     memo: dict[str, tuple] = field(default_factory=dict, repr=False)
     cache: dict[tuple, tuple] = field(default_factory=dict, repr=False)
+    seen: dict[str, list] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"model": self.model, "known": self.known, "names": self.names, "memo": {}, "cache": {}}
+        return {"model": self.model, "known": self.known, "names": self.names, "memo": {}, "cache": {}, "seen": {}}
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """Entity spans (start, end, type) of each text, as offsets in it."""
+        """Entity spans (start, end, type) of each text, as offsets in it. Repeated texts are looked at once while they are remembered."""
+        if len(self.seen) > 100_000:
+            self.seen.clear()
+        new = list({t for t in texts if t and t not in self.seen})
+        self.seen.update(zip(new, self._tag(new)))
+        return [self.seen[t] if t else [] for t in texts]
+
+    def _tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         if len(self.memo) > 300_000:
             self.memo.clear()
         if len(self.cache) > 200_000:
@@ -627,14 +635,13 @@ def find_personal_data(df: DataFrame, id_col: str, columns: list[str], tagger: T
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = shared.value
         for pdf in batches:
-            texts = pdf["text"].tolist()
+            texts, ids, fields = pdf["text"].tolist(), pdf["row_id"].tolist(), pdf["field"].tolist()
             rows = []
             for i in range(0, len(texts), 2000):
                 part = texts[i : i + 2000]
                 for k, spans in enumerate(tagger.tag(part)):
                     if spans:
-                        r = pdf.iloc[i + k]
-                        rows.append((r["row_id"], r["field"], mask(part[k], spans), [{"start_pos": a, "end_pos": b, "entity_type": t} for a, b, t in spans]))
+                        rows.append((ids[i + k], fields[i + k], mask(part[k], spans), [{"start_pos": a, "end_pos": b, "entity_type": t} for a, b, t in spans]))
             yield pd.DataFrame(rows, columns=["row_id", "field", "masked", "spans"])
 
     return long.mapInPandas(run, schema)
