@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from veilframe.functions.text import let
+
 #: Weights of the check digits of tax numbers.
 INN10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN12_FIRST = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
@@ -28,18 +30,24 @@ def _weighted(d: Column, weights: tuple[int, ...]) -> Column:
 
 def is_inn(c: Column) -> Column:
     """Whether the digits are a tax number of 10 or 12 digits with right check digits; null for null."""
-    d = digits_of(c)
-    ten = (F.length(d) == 10) & (_weighted(d, INN10) % 11 % 10 == _digit(d, 9))
-    twelve = (F.length(d) == 12) & (_weighted(d, INN12_FIRST) % 11 % 10 == _digit(d, 10)) & (_weighted(d, INN12_SECOND) % 11 % 10 == _digit(d, 11))
-    return F.when(c.isNull(), None).otherwise(F.coalesce(ten, F.lit(False)) | F.coalesce(twelve, F.lit(False)))
+
+    def right(d: Column) -> Column:
+        ten = (F.length(d) == 10) & (_weighted(d, INN10) % 11 % 10 == _digit(d, 9))
+        twelve = (F.length(d) == 12) & (_weighted(d, INN12_FIRST) % 11 % 10 == _digit(d, 10)) & (_weighted(d, INN12_SECOND) % 11 % 10 == _digit(d, 11))
+        return F.coalesce(ten, F.lit(False)) | F.coalesce(twelve, F.lit(False))
+
+    return F.when(c.isNotNull(), let(digits_of(c), right))
 
 
 def is_snils(c: Column) -> Column:
     """Whether the digits are an insurance number of 11 digits with the right check number; null for null."""
-    d = digits_of(c)
-    rest = _weighted(d, tuple(range(9, 0, -1))) % 101
-    want = F.when(rest == 100, 0).otherwise(rest)
-    return F.when(c.isNull(), None).otherwise(F.coalesce((F.length(d) == 11) & (want == _digit(d, 9) * 10 + _digit(d, 10)), F.lit(False)))
+
+    def right(d: Column) -> Column:
+        # The check number is the weighted sum modulo 101, with 100 as 0.
+        rest = _weighted(d, tuple(range(9, 0, -1))) % 101 % 100
+        return F.coalesce((F.length(d) == 11) & (rest == _digit(d, 9) * 10 + _digit(d, 10)), F.lit(False))
+
+    return F.when(c.isNotNull(), let(digits_of(c), right))
 
 
 def is_luhn(c: Column) -> Column:

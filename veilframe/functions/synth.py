@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from veilframe.functions.checks import INN10
+from veilframe.functions.text import let
 
 #: Neighbours on a Russian keyboard, for slips of the finger.
 KEYS = {"а": "вп", "о": "рл", "е": "нк", "и": "мт", "н": "ег", "т": "иь", "р": "по", "с": "чм", "л": "од", "в": "ыа"}
@@ -20,22 +21,27 @@ def hashed_digits(seed: Column, n: int, salt: str = "") -> Column:
 
 def made_inn(seed: Column) -> Column:
     """A tax number of ten digits with the right check digit."""
-    nine = hashed_digits(seed, 9, "inn")
-    total = F.lit(0)
-    for i, w in enumerate(INN10):
-        total = total + F.substring(nine, i + 1, 1).cast("int") * w
-    return F.concat(nine, (total % 11 % 10).cast("string"))
+
+    def whole(nine: Column) -> Column:
+        total = F.lit(0)
+        for i, w in enumerate(INN10):
+            total = total + F.substring(nine, i + 1, 1).cast("int") * w
+        return F.concat(nine, (total % 11 % 10).cast("string"))
+
+    return let(hashed_digits(seed, 9, "inn"), whole)
 
 
 def made_snils(seed: Column) -> Column:
     """An insurance number with the right check number, in the form ddd-ddd-ddd dd."""
-    nine = hashed_digits(seed, 9, "snils")
-    total = F.lit(0)
-    for i in range(9):
-        total = total + F.substring(nine, i + 1, 1).cast("int") * (9 - i)
-    rest = total % 101
-    check = F.lpad(F.when(rest == 100, 0).otherwise(rest).cast("string"), 2, "0")
-    return F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 3), F.concat(F.substring(nine, 7, 3), F.lit(" "), check))
+
+    def whole(nine: Column) -> Column:
+        total = F.lit(0)
+        for i in range(9):
+            total = total + F.substring(nine, i + 1, 1).cast("int") * (9 - i)
+        check = F.lpad((total % 101 % 100).cast("string"), 2, "0")
+        return F.concat_ws("-", F.substring(nine, 1, 3), F.substring(nine, 4, 3), F.concat(F.substring(nine, 7, 3), F.lit(" "), check))
+
+    return let(hashed_digits(seed, 9, "snils"), whole)
 
 
 def made_phone(seed: Column) -> Column:

@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 SPACE = r"[\s\p{Z}]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row; an expression named often, or in a lambda, is otherwise computed each time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapsed(c: Column) -> Column:
     """Lower case, runs of white space as one space, none at the ends: the key for equal texts."""
     return F.lower(F.regexp_replace(F.regexp_replace(c, f"{SPACE}+", " "), "^ | $", ""))
@@ -27,9 +32,12 @@ def word_set(c: Column) -> Column:
 
 def shingles(c: Column, n: int = 3) -> Column:
     """The distinct n-word shingles; of a text with fewer words, its distinct words."""
-    w = word_list(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.array_distinct(F.when(F.size(w) >= n, grams).otherwise(w))
+
+    def grams(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.array_distinct(F.when(F.size(w) >= n, made).otherwise(w))
+
+    return let(word_list(c), grams)
 
 
 def array_jaccard(a: Column, b: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from veilframe.operators.spans import let, value_of
+from veilframe.functions.text import let
+from veilframe.operators.spans import value_of
 
 NAME_LEAST, COMMON_LEAST = 0.35, 0.5
 _SUFFIX = r"(?iu)(ов|ев|ёв|ин|ын|ова|ева|ёва|ина|ына|ский|ская|цкий|цкая|енко|ук|юк|ович|евич|овна|евна)(а|у|ым|ом|ой|е|ы)?$"

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from veilframe.functions.text import let
+
 SPAN = "struct<entity_type:string,start_pos:int,end_pos:int,score:double>"
 SPANS = f"array<{SPAN}>"
 #: Placeholder of each type; any other type is <PII>. Types that are never masked.
@@ -18,11 +20,6 @@ NEVER_MASKED = ("LOCATION", "NRP")
 POLICY = (*PLACEHOLDERS, "PII")
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once a row; an expression named in a lambda is otherwise computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def empty_spans() -> Column:
     return F.array().cast(SPANS)
 

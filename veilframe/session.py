@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,5 +81,22 @@ def drop_written() -> None:
 atexit.register(drop_written)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, unless their PYTHONPATH has it already; once for each context."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_veilframe_shipped", False):
+        return
+    sc._veilframe_shipped = True
+    at = os.path.join(tempfile.mkdtemp(prefix="veilframe-code-"), "veilframe.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, files in os.walk(os.path.join(home, "veilframe")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, home))
+    sc.addPyFile(at)  # the driver serves it to the executors
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
