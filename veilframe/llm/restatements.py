@@ -98,6 +98,8 @@ def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, ta
     """(a, b, share): pairs of classes (cid, set) whose sets have a Jaccard similarity of `threshold` or more.
 
     The matched prefixes are shortened from LONGEST on until the estimated recall reaches the target.
+    Labels collide with the weighted similarity, so pairs that are alike mostly in common words are found later than
+    those alike in rare ones, and may be missed when the target is reached before; the estimate can't see them.
     The estimate is that of unseen species: with f1 and f2 the similar pairs met in one and two trees, f1^2 / (2 f2)
     are expected to be unseen. Candidates are verified exactly. A leaf with more than LEAF members is
     split by the rare words that a similar pair must share (prefix filter in the order of weights), which loses no pair.
@@ -118,7 +120,7 @@ def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, ta
         near = written(near.select("a", "b", "share", "hits"), "similar")
         seen, f1, f2 = near.agg(F.count(F.lit(1)), F.count_if(F.col("hits") == 1), F.count_if(F.col("hits") == 2)).first()
         unseen = f1 * f1 / (2 * f2) if f2 else f1 * (f1 - 1) / 2
-        if not seen or seen / (seen + unseen) >= target:
+        if seen and seen / (seen + unseen) >= target:  # nothing seen is no estimate
             break
     return near.select("a", "b", "share")
 
