@@ -97,6 +97,8 @@ def bootstrap(clusters: DataFrame, key: str, n_iter: int = 1000, seed: int = 0,
     differences on the same draws, with a two-sided p. The matrix of clusters (templates, a small set) is one task's; it must fit in it."""
     both = clusters if other is None else clusters.join(other.select(key, *[F.col(c).alias(f"o_{c}") for c in COUNTS]), key, "full")
 
+    paired = other is not None
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).fillna(0)
         rng = np.random.default_rng(seed)
@@ -108,7 +110,7 @@ def bootstrap(clusters: DataFrame, key: str, n_iter: int = 1000, seed: int = 0,
             return {"f1": 2 * p * r / np.maximum(p + r, 1e-12), "full_masked_rate": s["full"] / np.maximum(s["n_gold"], 1)}
 
         a = metrics("")
-        d = a if other is None else {k: a[k] - v for k, v in metrics("o_").items()}
+        d = a if not paired else {k: a[k] - v for k, v in metrics("o_").items()}
         rows = [(k, v.mean(), np.percentile(v, 2.5), np.percentile(v, 97.5), min(1.0, 2 * min((v <= 0).mean(), (v >= 0).mean()))) for k, v in d.items()]
         return pd.DataFrame(rows, columns=["metric", "mean", "lo", "hi", "p"])
 
