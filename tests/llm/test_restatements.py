@@ -44,3 +44,21 @@ def test_edges_and_groups(spark):
     assert restatement_pairs(df.limit(0)).count() == 0
     g = {r["rec_id"]: r["group_id"] for r in restatement_groups(df).collect()}
     assert g[1] == g[2] != g[6] and set(g) == {1, 2, 6}
+
+
+def test_group_of_edited_copies_holding_a_third_is_found(spark):
+    """Near-copies that share only words a third of the corpus has, one word edited in each (similarity 0.91)."""
+    hot = [f"общее{i}" for i in range(20)]
+    rows = [(i, " ".join([*hot, f"правка{i}"])) for i in range(150)]
+    rows += [(i, " ".join(f"редкое{i // 2}x{j}" for j in range(20)) + f" конец{i}") for i in range(150, 450)]
+    got = {(r["id_a"], r["id_b"]) for r in restatement_pairs(spark.createDataFrame(rows, "rec_id long, text string")).collect()}
+    want = _brute(rows)
+    assert len(want) == 150 * 149 // 2 + 150
+    assert got <= want and len(got) >= 0.999 * len(want)
+
+
+def test_pairs_of_large_leaves_count_true_hits(spark):
+    """A pair is met once for each large leaf that has it, however many rare words it shares."""
+    sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [7, 8, 9, 10])], "cid long, set array<long>")
+    large = spark.createDataFrame([(leaf, c) for leaf in (10, 11) for c in (1, 2, 3)], "leaf long, cid long")
+    assert [tuple(r) for r in restatements._split_large(large, sets, {}, 0.5).collect()] == [(1, 2)] * 2

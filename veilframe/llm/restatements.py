@@ -16,7 +16,7 @@ from veilframe.session import written
 TREES, LONGEST, SHORTEST = 48, 4, 1
 #: Share of all similar pairs to be found before the prefixes are no longer shortened.
 TARGET_RECALL = 0.999
-#: A word is common if this share of the record classes has it; common words weigh less in the signature.
+#: A word is common if this share of the record classes has it; the others count as equally rare.
 COMMON_SHARE = 1e-3
 #: At most so many words are held as common ones.
 COMMON_BOUND = 200_000
@@ -24,19 +24,18 @@ COMMON_BOUND = 200_000
 LEAF = 100
 
 
-def common_words(classes: DataFrame) -> tuple[dict[int, float], float]:
-    """The weight of each common word and that of all others: ln(1/share)^3.
+def common_words(classes: DataFrame) -> dict[int, int]:
+    """The number of classes that have each common word.
 
     The number of common words is at most the mean number of words over the least share, and the least share
     is raised where that would go over COMMON_BOUND; so what is broadcast is bounded for any corpus.
     """
     n, total = classes.agg(F.count(F.lit(1)), F.sum(F.size("set"))).first()
     if not n:
-        return {}, 1.0
+        return {}
     share = max(COMMON_SHARE, total / n / COMMON_BOUND)
     rows = classes.select(F.explode("set").alias("w")).groupBy("w").count().filter(F.col("count") >= max(2, share * n)).collect()
-    rare = math.log(1 / min(share, 0.5)) ** 3
-    return {r["w"]: max(1e-3, min(rare, math.log(n / r["count"]) ** 3)) for r in rows}, rare
+    return {r["w"]: r["count"] for r in rows}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,10 +44,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signatures(sets: list[np.ndarray], weights: np.ndarray, n_hashes: int) -> np.ndarray:
-    """Weighted MinHash: for each set and hash, the least -ln(u)/weight over its words, as a label.
+def signatures(sets: list[np.ndarray], n_hashes: int) -> np.ndarray:
+    """MinHash: for each set and hash, the least hash of its words, as a label.
 
-    Two sets have the same label with the probability of their weighted Jaccard similarity.
+    Two sets have the same label with the probability of their Jaccard similarity, whatever words they share.
     """
     lengths = np.array([len(s) for s in sets])
     flat = np.concatenate(sets).view(np.uint64)
@@ -56,28 +55,24 @@ def signatures(sets: list[np.ndarray], weights: np.ndarray, n_hashes: int) -> np
     out = np.empty((len(sets), n_hashes), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n_hashes):
-            u = _mix(flat + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1))
-            h = np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / -weights
-            out[:, k] = np.minimum.reduceat(h, starts).view(np.uint64)
+            out[:, k] = np.minimum.reduceat(_mix(flat + np.uint64(0x9E3779B97F4A7C15) * np.uint64(k + 1)), starts)
     return out
 
 
-def forest_leaves(classes: DataFrame, depth: int, weights: dict[int, float], rare: float, trees: int = TREES) -> DataFrame:
-    """(leaf, cid) for each class and tree: the tree's sorted labels cut to a prefix of `depth`."""
-    shared = classes.sparkSession.sparkContext.broadcast((np.array(sorted(weights), dtype=np.int64), np.array([weights[w] for w in sorted(weights)])))
+def least_recall(threshold: float, depth: int, trees: int) -> float:
+    """The chance that a pair just at the threshold shares a leaf of some tree; more alike pairs have a higher one."""
+    return 1 - (1 - threshold**depth) ** trees
+
+
+def forest_leaves(classes: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
+    """(leaf, cid) for each class and tree: the tree's labels cut to a prefix of `depth`."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, values = shared.value
         for pdf in batches:
             for i in range(0, len(pdf), 4000):
                 part = pdf.iloc[i : i + 4000]
                 sets = [np.asarray(s, dtype=np.int64) for s in part["set"]]
-                flat = np.concatenate(sets)
-                w = np.full(len(flat), rare)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-                    w = np.where(words[at] == flat, values[at], rare)
-                sig = signatures(sets, w, trees * depth).reshape(len(sets), trees, depth)
+                sig = signatures(sets, trees * depth).reshape(len(sets), trees, depth)
                 with np.errstate(over="ignore"):
                     key = np.broadcast_to(_mix(np.arange(1, trees + 1, dtype=np.uint64)), (len(sets), trees)).copy()
                     for d in range(depth):
@@ -97,43 +92,49 @@ def _pairs_of(leaves: DataFrame) -> DataFrame:
 def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
     """(a, b, share): pairs of classes (cid, set) whose sets have a Jaccard similarity of `threshold` or more.
 
-    The matched prefixes are shortened from LONGEST on until the estimated recall reaches the target.
-    Labels collide with the weighted similarity, so pairs that are alike mostly in common words are found later than
-    those alike in rare ones, and may be missed when the target is reached before; the estimate can't see them.
+    The labels aren't weighted: a pair collides with its Jaccard similarity, so the recall of the prefixes is known
+    beforehand and holds for each pair, also in a group of near-copies that holds much of the corpus. The longest
+    prefix whose recall at the threshold reaches the target is taken (0.9999 for the defaults); where none does,
+    there are more trees. It is shortened further while the estimated recall is below the target.
     The estimate is that of unseen species: with f1 and f2 the similar pairs met in one and two trees, f1^2 / (2 f2)
     are expected to be unseen. Candidates are verified exactly. A leaf with more than LEAF members is
-    split by the rare words that a similar pair must share (prefix filter in the order of weights), which loses no pair.
+    split by the rare words that a similar pair must share (prefix filter from rare to common), which loses no pair.
     """
-    weights, rare = common_words(classes)
+    common = common_words(classes)
     sets = classes.select("cid", "set")
+    if least_recall(threshold, SHORTEST, trees) < target:
+        trees = math.ceil(math.log(1 - target) / math.log(1 - threshold**SHORTEST))
     for depth in range(LONGEST, SHORTEST - 1, -1):
-        leaves = forest_leaves(classes, depth, weights, rare, trees).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leaf"))).filter("n > 1")
+        if least_recall(threshold, depth, trees) < target and depth > SHORTEST:
+            continue
+        leaves = forest_leaves(classes, depth, trees).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leaf"))).filter("n > 1")
         leaves = written(leaves, "leaves")
-        hits = _pairs_of(leaves.filter(F.col("n") <= LEAF)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
+        met = _pairs_of(leaves.filter(F.col("n") <= LEAF))
         large = leaves.filter(F.col("n") > LEAF)
         if not large.isEmpty():
-            split = _split_large(large, sets, weights, threshold)
-            hits = hits.unionByName(split.withColumn("hits", F.lit(trees).cast("long"))).groupBy("a", "b").agg(F.max("hits").alias("hits"))
+            met = met.unionByName(_split_large(large, sets, common, threshold))
+        hits = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"))
         near = hits.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
         near = near.filter(F.least(F.size("sa"), F.size("sb")) >= threshold * F.greatest(F.size("sa"), F.size("sb")) - 1e-9)
         near = near.withColumn("share", jaccard(F.col("sa"), F.col("sb"))).filter(F.col("share") >= threshold)
         near = written(near.select("a", "b", "share", "hits"), "similar")
         seen, f1, f2 = near.agg(F.count(F.lit(1)), F.count_if(F.col("hits") == 1), F.count_if(F.col("hits") == 2)).first()
         unseen = f1 * f1 / (2 * f2) if f2 else f1 * (f1 - 1) / 2
-        if seen and seen / (seen + unseen) >= target:  # nothing seen is no estimate
+        if not seen or seen / (seen + unseen) >= target:
             break
     return near.select("a", "b", "share")
 
 
-def _split_large(large: DataFrame, sets: DataFrame, weights: dict[int, float], threshold: float) -> DataFrame:
-    """Candidate pairs of large leaves: members that share a word of their prefixes in the order from rare to common."""
-    known = sets.sparkSession.createDataFrame([(w, float(v)) for w, v in weights.items()] or [(0, 0.0)], "w long, weight double")
+def _split_large(large: DataFrame, sets: DataFrame, common: dict[int, int], threshold: float) -> DataFrame:
+    """Candidate pairs of large leaves, once for each leaf that has them: members that share a word of their prefixes in the order from rare to common."""
+    known = sets.sparkSession.createDataFrame(list(common.items()) or [(0, 0)], "w long, n_classes long")
     member = large.select("cid").distinct().join(sets, "cid").withColumn("need", F.size("set") - F.ceil(threshold * F.size("set") - 1e-9) + 1)
     words = member.select("cid", "need", F.explode("set").alias("w")).join(known, "w", "left")
-    order = Window.partitionBy("cid").orderBy(F.coalesce("weight", F.lit(float("inf"))).desc(), "w")
-    prefix = words.withColumn("k", F.row_number().over(order)).filter("k <= need").select("cid", "w")
-    left = large.select("leaf", "cid").join(prefix, "cid")
-    return left.select("leaf", "w", F.col("cid").alias("a")).join(left.select("leaf", "w", F.col("cid").alias("b")), ["leaf", "w"]).filter("a < b").select("a", "b").distinct()
+    order = Window.partitionBy("cid").orderBy(F.coalesce("n_classes", F.lit(0)), "w")
+    prefix = words.withColumn("k", F.row_number().over(order)).filter("k <= need").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("prefix"))
+    left = large.select("leaf", "cid").join(prefix, "cid").select("leaf", "cid", "prefix", F.explode("prefix").alias("w"))
+    pairs = left.select("leaf", "w", F.col("cid").alias("a"), F.col("prefix").alias("pa")).join(left.select("leaf", "w", F.col("cid").alias("b"), F.col("prefix").alias("pb")), ["leaf", "w"]).filter("a < b")
+    return pairs.filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("w")).select("a", "b")  # at the first word both prefixes have
 
 
 def record_classes(records: DataFrame) -> DataFrame:
