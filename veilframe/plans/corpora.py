@@ -136,7 +136,7 @@ def jn_batch_in(spark, sf_dir):
 def ag_conv_total(spark, sf_dir):
     """Entities and texts of each conversation, over identifier, contact and messages."""
     t = {n: table(spark, sf_dir, n) for n in ("conversations", "contacts", "messages")}
-    return entity_totals(anonymized_conversations(t["conversations"], t["contacts"], t["messages"], names=("rx_email", "rx_phone_plus7", "rx_phone_8", "rx_card16", "rx_person_fio")))
+    return entity_totals(anonymized_conversations(t["conversations"], t["contacts"], t["messages"]))
 
 
 @query("set_union", "select split, source, cast(count(*) as bigint) as n from (select distinct 'train' as split, source, rec_id from train_negatives union all select distinct 'dev', source, rec_id from dev_negatives union all select distinct 'test', source, rec_id from test_negatives) group by all")
@@ -269,9 +269,7 @@ def src_upload_dispatch(spark, sf_dir):
     return d.select("path", handler_of(F.col("path"), F.col("mime")).alias("handler"))
 
 
-@query("stream_webhook", r"select id, cast(len(regexp_extract_all(content, '(?i)[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}')) as int) as n_entities from (select distinct id, content from messages where content is not null and id is not null)")
-def stream_webhook(spark, sf_dir):
-    """All messages written as events, read as a stream and masked (e-mail addresses only)."""
+def _stream_webhook(spark, sf_dir, names=None):
     import uuid
 
     from veilframe.streaming.webhook import run_webhook
@@ -280,5 +278,17 @@ def stream_webhook(spark, sf_dir):
     m = table(spark, sf_dir, "messages").filter("content is not null and id is not null").select("id", "content", "conversation_id", "message_type").distinct()
     m = m.groupBy("id", "content").agg(F.min("conversation_id").alias("conversation_id"))
     m.select(F.to_json(F.struct(F.lit("message_created").alias("event"), "id", "content", F.struct(F.col("conversation_id").alias("id")).alias("conversation"))).alias("value")).write.text(f"{at}/in")
-    run_webhook(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", names=("rx_email",)).awaitTermination()
+    run_webhook(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", names=names).awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("id").cast("int").alias("id"), "n_entities")
+
+
+@query("stream_webhook", r"select id, cast(len(regexp_extract_all(content, '(?i)[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}')) as int) as n_entities from (select distinct id, content from messages where content is not null and id is not null)")
+def stream_webhook(spark, sf_dir):
+    """All messages written as events, read as a stream and masked (e-mail addresses only)."""
+    return _stream_webhook(spark, sf_dir, names=("rx_email",))
+
+
+@query("stream_webhook_all")
+def stream_webhook_all(spark, sf_dir):
+    """All messages written as events, read as a stream and masked by all rules."""
+    return _stream_webhook(spark, sf_dir)

@@ -45,9 +45,6 @@ def _rule_query(rule):
 for _r in RECOGNIZERS:
     _rule_query(_r)
 
-FLAGSHIP = ("rx_email", "rx_phone_plus7", "rx_phone_8", "rx_phone_intl", "rx_phone_anch", "rx_card16", "rx_inn_anch", "rx_snils_anch", "rx_passport_anch", "rx_dob_anch", "rx_ip", "rx_url")
-
-
 @query("anonymize_messages")
 def anonymize_messages(spark, sf_dir):
     """Messages with all rules applied: id, masked text, number of entities."""
@@ -57,22 +54,38 @@ def anonymize_messages(spark, sf_dir):
 
 @query("anonymize_documents")
 def anonymize_documents(spark, sf_dir):
-    a = anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", names=FLAGSHIP)
+    """Documents with all rules applied."""
+    a = anonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return a.select("doc_id", "anonymized", F.size("entities_found").alias("n_entities"))
 
 
 @query("deanon_round_trip", "select id, content as deanonymized from messages")
 def deanon_round_trip(spark, sf_dir):
     """Masking and putting back gives every message again (that doesn't itself hold placeholders)."""
-    a = anonymize(table(spark, sf_dir, "messages").select("id", "content"), "content", names=FLAGSHIP)
+    a = anonymize(table(spark, sf_dir, "messages").select("id", "content"), "content")
     return deanonymize(a, "anonymized", "mapping").select("id", "deanonymized")
 
 
+def _map_build(spark, sf_dir, names=None):
+    m = anonymize(table(spark, sf_dir, "messages").select("id", "content"), "content", names=names)
+    return m.filter(F.size("mapping") > 0).groupBy("id").agg(F.sum(F.size("mapping")).cast("long").alias("n"))
+
+
 @query("map_build", f"select id, cast(count(*) as bigint) as n from (select id, unnest(regexp_extract_all(content, '(?i){_EMAIL}')) from messages) group by id")
 def map_build(spark, sf_dir):
     """Entries of the mapping of each message, e-mail addresses only: one for each placeholder."""
-    m = anonymize(table(spark, sf_dir, "messages").select("id", "content"), "content", names=("rx_email",))
-    return m.filter(F.size("mapping") > 0).groupBy("id").agg(F.sum(F.size("mapping")).cast("long").alias("n"))
+    return _map_build(spark, sf_dir, names=("rx_email",))
+
+
+@query("map_build_all")
+def map_build_all(spark, sf_dir):
+    """Entries of the mapping of each message, all rules."""
+    return _map_build(spark, sf_dir)
+
+
+def _ph_number(spark, sf_dir, names=None):
+    a = anonymize(table(spark, sf_dir, "messages").select("id", "content").distinct(), "content", names=names)
+    return a.select("id", F.explode("entities_found").alias("e")).select("id", "e.value", "e.placeholder")
 
 
 @query("ph_number", f"""
@@ -80,16 +93,31 @@ with m as (select distinct id, content from messages),
 e as (select id, unnest(regexp_extract_all(content, '(?i){_EMAIL}')) as value, generate_subscripts(regexp_extract_all(content, '(?i){_EMAIL}'), 1) as k from m)
 select id, value, case when k = 1 then '<EMAIL>' else '<EMAIL_' || k || '>' end as placeholder from e""")
 def ph_number(spark, sf_dir):
-    a = anonymize(table(spark, sf_dir, "messages").select("id", "content").distinct(), "content", names=("rx_email",))
-    return a.select("id", F.explode("entities_found").alias("e")).select("id", "e.value", "e.placeholder")
+    return _ph_number(spark, sf_dir, names=("rx_email",))
+
+
+@query("ph_number_all")
+def ph_number_all(spark, sf_dir):
+    """Values and placeholders of each message, all rules."""
+    return _ph_number(spark, sf_dir)
+
+
+def _prj_redact(spark, sf_dir, names=None):
+    r = redacted(anonymize(table(spark, sf_dir, "messages").select("id", "content").distinct(), "content", names=names))
+    r = r.select("id", F.size("entities_found").alias("n_entities"), F.forall("entities_found", lambda e: e["value"] == "").alias("all_blank"), F.size("mapping").alias("n_mapping"))
+    return r.filter("n_entities > 0")
 
 
 @query("prj_redact", f"""
 select id, cast(len(regexp_extract_all(content, '(?i){_EMAIL}')) as int) as n_entities, true as all_blank, 0 as n_mapping from (select distinct id, content from messages) where len(regexp_extract_all(content, '(?i){_EMAIL}')) > 0""")
 def prj_redact(spark, sf_dir):
-    r = redacted(anonymize(table(spark, sf_dir, "messages").select("id", "content").distinct(), "content", names=("rx_email",)))
-    r = r.select("id", F.size("entities_found").alias("n_entities"), F.forall("entities_found", lambda e: e["value"] == "").alias("all_blank"), F.size("mapping").alias("n_mapping"))
-    return r.filter("n_entities > 0")
+    return _prj_redact(spark, sf_dir, names=("rx_email",))
+
+
+@query("prj_redact_all")
+def prj_redact_all(spark, sf_dir):
+    """Blanked entities of each message, all rules."""
+    return _prj_redact(spark, sf_dir)
 
 
 @query("flt_disable", f"select id, regexp_replace(content, '(?i){_EMAIL}', '', 'g') = content as unchanged from messages where content is not null")
@@ -113,7 +141,7 @@ def flt_empty(spark, sf_dir):
 @query("snk_review")
 def snk_review(spark, sf_dir):
     """Messages with their entities marked for review."""
-    a = anonymize(table(spark, sf_dir, "messages").select("id", "content"), "content", names=FLAGSHIP)
+    a = anonymize(table(spark, sf_dir, "messages").select("id", "content"), "content")
     return a.filter(F.size("entities_found") > 0).select("id", highlighted(F.col("content"), F.col("entities_found")).alias("marked"))
 
 
@@ -127,7 +155,7 @@ def json_strings_query(spark, sf_dir):
 @query("json_anon")
 def json_anon(spark, sf_dir):
     c = one_row_each(table(spark, sf_dir, "conversations").select("id", "additional_attributes", "updated_at"))
-    return anonymize_json(c, "id", "additional_attributes", names=("rx_email", "rx_url", "rx_phone_plus7"))
+    return anonymize_json(c, "id", "additional_attributes")
 
 
 @query("docx_row_ctx")
@@ -135,7 +163,7 @@ def docx_row_ctx(spark, sf_dir):
     """Contacts as table rows: each field masked in the context of the row."""
     c = one_row_each(table(spark, sf_dir, "contacts").select("id", "name", "email", "phone", "updated_at"))
     cells = c.select("id", F.posexplode(F.array("name", "email", "phone")).alias("col", "text"))
-    return row_context(cells, "id", "col", "text", names=("rx_email", "rx_phone_plus7", "rx_phone_8", "rx_person_fio", "rx_person_initials")).select("id", "col", "masked")
+    return row_context(cells, "id", "col", "text").select("id", "col", "masked")
 
 
 @query("pdf_boxes", r"""
@@ -150,14 +178,32 @@ def pdf_boxes(spark, sf_dir):
 @query("pdf_hits")
 def pdf_hits(spark, sf_dir):
     words = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", r"\s+", -1)).alias("n", "text"))
-    return word_boxes(words, "doc_id", "n", "text", names=("rx_email", "rx_url", "rx_phone_plus7")).filter("hit").select("doc_id", "n", "text")
+    return word_boxes(words, "doc_id", "n", "text").filter("hit").select("doc_id", "n", "text")
+
+
+def _ag_clean_mask(spark, sf_dir, names=None):
+    a = anonymize(table(spark, sf_dir, "documents").select("source", "text").filter("text is not null"), "text", names=names)
+    return a.groupBy("source").agg(F.avg((F.col("anonymized") != F.col("text")).cast("double")).alias("share"))
 
 
 @query("ag_clean_mask", f"select source, avg(case when regexp_matches(text, '(?i){_EMAIL}') then 1.0 else 0.0 end) as share from documents where text is not null group by source")
 def ag_clean_mask(spark, sf_dir):
     """Share of documents of each source that masking of e-mail addresses changes."""
-    a = anonymize(table(spark, sf_dir, "documents").select("source", "text").filter("text is not null"), "text", names=("rx_email",))
-    return a.groupBy("source").agg(F.avg((F.col("anonymized") != F.col("text")).cast("double")).alias("share"))
+    return _ag_clean_mask(spark, sf_dir, names=("rx_email",))
+
+
+@query("ag_clean_mask_all")
+def ag_clean_mask_all(spark, sf_dir):
+    """Share of documents of each source that masking by all rules changes."""
+    return _ag_clean_mask(spark, sf_dir)
+
+
+def _ag_leak(spark, sf_dir, names=None):
+    from veilframe.operators.spans import leaked
+
+    d = table(spark, sf_dir, "ru_training_data").filter("text is not null and entity_value is not null")
+    a = anonymize(d.select("text", "entity_type", "entity_value"), "text", names=names)
+    return a.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(leaked(F.col("anonymized"), F.col("entity_value"))).alias("leaked"))
 
 
 @query("ag_leak", f"""
@@ -165,8 +211,10 @@ select entity_type, cast(count(*) as bigint) as n, cast(count(*) filter (where t
 from ru_training_data where text is not null and entity_value is not null group by entity_type""")
 def ag_leak(spark, sf_dir):
     """Values of each type that still stand in the text after e-mail addresses are masked."""
-    from veilframe.operators.spans import leaked
+    return _ag_leak(spark, sf_dir, names=("rx_email",))
 
-    d = table(spark, sf_dir, "ru_training_data").filter("text is not null and entity_value is not null")
-    a = anonymize(d.select("text", "entity_type", "entity_value"), "text", names=("rx_email",))
-    return a.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(leaked(F.col("anonymized"), F.col("entity_value"))).alias("leaked"))
+
+@query("ag_leak_all")
+def ag_leak_all(spark, sf_dir):
+    """Values of each type that still stand in the text after masking by all rules."""
+    return _ag_leak(spark, sf_dir)
