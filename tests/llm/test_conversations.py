@@ -40,3 +40,20 @@ def test_trees_over_blocks(spark):
         while p:
             n, p = p, parent[p]
         assert n == top
+
+
+def test_late_reply_is_tied_to_its_turn(spark):
+    """A reply 40 turns later finds the turn whose order code, name and words it shares, within a block and over blocks."""
+    rows = [_msg(1, 1, "contact", 0, "Где посылка для Марины по заказу 774512?")]
+    rows += [_msg(i, 1, "user" if i % 2 else "contact", 1 if i % 2 else 0, f"тема{i} слово{i}", at=i * 60) for i in range(2, 41)]
+    rows += [_msg(41, 1, "user", 1, "посылка для марины по заказу 774512 уже едет", at=41 * 60)]
+    t = cv.turns(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1,)], "id int"))
+    for block in (512, 8):
+        assert {r["turn_no"]: r["parent_no"] for r in cv.reply_links(t, block=block).collect()}[41] == 1
+
+
+def test_whole_conversation_is_scored_alike_over_blocks(spark):
+    rows = [_msg(i, 1, "contact" if i % 3 else "user", 0 if i % 3 else 1, f"вопрос {i // 7} про заказ {i % 5}00{i % 5}" + "?" * (i % 2), at=i * (1 if i % 11 else 4000)) for i in range(1, 121)]
+    t = cv.turns(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1,)], "id int"))
+    key = lambda df: sorted((r["turn_no"], r["parent_no"] or 0, r["thread_no"]) for r in df.collect())
+    assert key(cv.link_trees(cv.reply_links(t))) == key(cv.link_trees(cv.reply_links(t, block=8), 8))

@@ -9,8 +9,8 @@ from veilframe.session import written
 
 #: Characters without a visible form, for the test of blank content (Java pattern).
 INVISIBLE = r"[\s\p{Z}\p{Cc}\p{Cf}\x{34f}\x{3164}\x{115f}\x{1160}\x{fe00}-\x{fe0f}]"
-#: A turn is linked to one of so many turns before it, at most.
-LOOKBACK = 12
+#: A turn is linked to one of so many turns before it, at most; None: to any turn before it.
+LOOKBACK = None
 #: Rows of one task's block of a conversation.
 BLOCK = 512
 
@@ -75,23 +75,24 @@ def turns(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     return spread_rank(kept, ["conversation_id"], ["created_at", "message_id"], "turn_no")
 
 
-def reply_links(turns_: DataFrame, lookback: int = LOOKBACK, block: int = BLOCK) -> DataFrame:
+def reply_links(turns_: DataFrame, lookback: int | None = LOOKBACK, block: int = BLOCK) -> DataFrame:
     """Adds parent_no, the turn answered by this one (null: it opens a thread), and link_score.
 
-    Each of the `lookback` turns before a turn is scored: nearness in time and in turns, change of
+    Each turn before a turn (of the last `lookback`, if given) is scored: nearness in time and in turns, change of
     speaker, a shared rare form (codes and numbers), lexical overlap of words, a mention of a
     name used in the other turn, and a question before an answer. The best score wins; on ties the
     nearest turn. A turn scoring under the opening score on every candidate opens a thread. A
-    conversation longer than `block` is cut in blocks, each with a copy of the turns before it,
-    so no conversation is one task's.
+    conversation longer than `block` is cut in blocks: a turn is scored against its own block, then
+    against each earlier block, and the best of all counts, so no conversation is one task's. The work of
+    a long conversation grows with the square of its turns.
     """
     secs = F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(1e6)
     base = turns_.select("conversation_id", "turn_no", "message_id", "speaker", "created_at", "said.*", secs.alias("secs"))
-    last = (F.col("turn_no") - 1) % block >= block - lookback
     home = F.floor((F.col("turn_no") - 1) / block)
-    spread = base.withColumn("block", F.explode(F.when(last, F.array(home, home + 1)).otherwise(F.array(home))))
-    w = Window.partitionBy("conversation_id", "block").orderBy("turn_no").rowsBetween(-lookback, -1)
-    near = spread.withColumn("before", F.collect_list(F.struct("turn_no", "speaker", "words", "codes", "names", "asks", "secs")).over(w)).filter(home == F.col("block"))
+    turn = F.struct("turn_no", "speaker", "words", "codes", "names", "asks", "secs")
+    base = written(base.withColumn("block", home), "turns")  # read again for the long conversations
+    w = Window.partitionBy("conversation_id", "block").orderBy("turn_no").rowsBetween(-(block if lookback is None else lookback), -1)
+    near = base.withColumn("before", F.collect_list(turn).over(w))
 
     def score(p: Column) -> Column:
         both = F.size(F.array_intersect(p["words"], F.col("words")))
@@ -105,7 +106,19 @@ def reply_links(turns_: DataFrame, lookback: int = LOOKBACK, block: int = BLOCK)
         )
 
     best = F.array_max(F.transform("before", lambda p: F.struct(score(p).alias("s"), p["turn_no"].alias("n"))))
-    linked = near.withColumn("best", best).withColumn("opens", F.coalesce(F.col("best.s") < OPENING_SCORE, F.lit(True)))
+    linked = near.withColumn("best", best)
+    many = base.filter("block > 0").select("conversation_id").distinct()
+    if not many.isEmpty():
+        long = base.join(many, "conversation_id", "left_semi")
+        earlier = long.groupBy("conversation_id", "block").agg(F.collect_list(turn).alias("before")).withColumnRenamed("block", "from_block")
+        oldest = F.lit(0) if lookback is None else F.greatest(F.floor((F.col("turn_no") - 1 - lookback) / block), F.lit(0))
+        later = long.filter("block > 0").withColumn("from_block", F.explode(F.filter(F.sequence(oldest.cast("long"), F.col("block")), lambda k: k < F.col("block"))))
+        met = later.join(earlier, ["conversation_id", "from_block"])
+        if lookback is not None:
+            met = met.withColumn("before", F.filter("before", lambda p: p["turn_no"] >= F.col("turn_no") - lookback))
+        far = met.select("conversation_id", "turn_no", best.alias("far")).groupBy("conversation_id", "turn_no").agg(F.max("far").alias("far"))
+        linked = linked.join(far, ["conversation_id", "turn_no"], "left").withColumn("best", F.greatest("best", "far"))
+    linked = linked.withColumn("opens", F.coalesce(F.col("best.s") < OPENING_SCORE, F.lit(True)))
     return linked.select(
         "conversation_id", "block", "turn_no", "message_id", "speaker", "created_at",
         F.when(~F.col("opens"), F.col("best.n")).alias("parent_no"), F.col("best.s").alias("link_score"),
@@ -155,7 +168,7 @@ def link_trees(links: DataFrame, block: int = BLOCK) -> DataFrame:
     return settled.join(ends, ["conversation_id", "top_no"], "left").withColumn("thread_no", F.coalesce("end_no", "top_no")).drop("top_no", "end_no", "block")
 
 
-def rebuild_conversations(messages: DataFrame, conversations: DataFrame, lookback: int = LOOKBACK) -> DataFrame:
+def rebuild_conversations(messages: DataFrame, conversations: DataFrame, lookback: int | None = LOOKBACK) -> DataFrame:
     """Every turn of every kept conversation with its speaker, parent turn and thread.
 
     Columns: conversation_id, turn_no, message_id, speaker, created_at, parent_no, link_score, thread_no.
