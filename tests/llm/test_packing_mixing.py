@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from veilframe.llm.mixing import mix_plan, mix_report, mix_sources, permuted, splitting_tree
-from veilframe.llm.packing import pack_documents, packing_report, plan
+from veilframe.llm.packing import Complements, pack_documents, packing_report, plan
 
 
 def _best_fit_decreasing(h, cap):
@@ -60,3 +60,13 @@ def test_mix(spark):
     assert m.select("shard").distinct().count() > 1
     assert mix_sources(docs.limit(0), targets).count() == 0
     assert mix_plan({"a": 100, "b": 10}, {"a": (0.5, 1), "b": (0.5, 2)}, 200) == {"a": 100, "b": 20}
+
+
+def test_exact_triple_is_found_behind_used_up_ones():
+    counts = np.zeros(4001, dtype=np.int64)
+    for i in range(10):
+        counts[[3000 - 2**i, 2**i]] = 1
+    counts[[1000, 2400]], counts[800] = 1, 2
+    ex = Complements(counts)
+    ex.use(1000, 1)  # the ten larger first lengths need it
+    assert ex.fill(4000, {}) == (2400, 800, 800)

@@ -18,7 +18,7 @@ class Complements:
 
     The sums of singles, pairs and triples are bit sets over 0..capacity. They are built over the lengths present and
     may name sums of lengths used up meanwhile; a find is therefore verified against the counts, and the
-    sets are built anew after REBUILD lengths have run out.
+    sets are built anew after REBUILD lengths have run out, or when eight first lengths of a triple fail; the search then goes on to the end.
     """
 
     REBUILD = 64
@@ -83,8 +83,9 @@ class Complements:
                     if self._has(t, used):
                         return t
                 tried += 1
-                if tried >= 8:
-                    break
+                if tried >= 8 and self.gone:  # the sets name lengths used up
+                    self._build()
+                    return self.fill(gap, used)
         return None
 
 
