@@ -81,7 +81,21 @@ def _unary(feats: list[np.ndarray], emit: np.ndarray) -> tuple[np.ndarray, np.nd
     return u, mask
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features: int, skips: list[list[tuple[int, int]]], epochs: int = 6, batch: int = 64, rate: float = 0.3, l2: float = 1e-6) -> CRF:
+#: Documents, and tokens with padding, that are looked at together.
+BATCH, BATCH_TOKENS = 64, 25_600
+
+
+def by_size(items: list, sizes: list[int]) -> list[list]:
+    """Batches of items given in order of size; an item of any size is in one batch, alone if it is large."""
+    out: list[list] = []
+    for x, n in zip(items, sizes):
+        if not out or len(out[-1]) >= BATCH or (len(out[-1]) + 1) * n > BATCH_TOKENS:
+            out.append([])
+        out[-1].append(x)
+    return out
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features: int, skips: list[list[tuple[int, int]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-6) -> CRF:
     """Piecewise maximum likelihood: the chain by adaptive gradient steps, the skip weight from how much more often types agree over skip links than those of their ends by chance.
 
     Feature 0 is the absent one. Documents are taken in the order given, so the fit is repeatable.
@@ -97,7 +111,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
     ge, gt, gs = np.full_like(emit, 1e-3), np.full_like(trans, 1e-3), np.full_like(start, 1e-3)
     free = trans > -1e3
     order = np.argsort([len(y) for _, y in docs], kind="stable")
-    groups = [order[i : i + batch] for i in range(0, len(order), batch)]
+    groups = by_size(order.tolist(), [len(docs[i][1]) for i in order])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for g in rng.permutation(len(groups)):
@@ -134,7 +148,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
     if same:
         ends = [ty[docs[d][1][k]] for d, links in enumerate(skips) for link in links for k in link]
         base = np.bincount(ends) + 0.5
-        by_chance = ((base / base.sum()) ** 2).sum()
+        by_chance = min(((base / base.sum()) ** 2).sum(), 1 - 1e-6)  # also where all ends are of one type
         agree = (sum(same) + 1) / (len(same) + 2)
         model.skip = float(np.clip(np.log(agree / (1 - agree)) - np.log(by_chance / (1 - by_chance)), 0.0, 4.0))
     return model

@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veilframe.llm import crf
 from veilframe.llm.lookalikes import _BASE, consistent_form
+from veilframe.llm.variants import variants
 
 #: Labelled records that the model is fitted on, about, of each labelled table (those with the least hashes).
 SAMPLE_RECORDS = 1200
@@ -24,16 +27,17 @@ PLACEHOLDERS = {
 }
 LABELS = ["O", *[f"{p}-{t}" for t in sorted(PLACEHOLDERS) for p in "BI"]]
 _N_FEATURES = 1 << 16
-_LONGEST = 400  # tokens of one chain; longer texts are cut at sentence ends, else at tokens
+#: Rule-made variants for each labelled record of the sample.
+VARIANTS = 3
 
 _S = r"[ \t]"
 _SEP = r"[ \t.()\-–—]{0,3}"
 #: Shapes of numbers and addresses of mail; the name says the shape, not the meaning.
 _MAIL = re.compile(
-    rf"(?P<mail>[\w.+\-]+{_S}*(?:@|\((?:собака|at)\)|\[(?:собака|at)\]|\bсобака\b|\bat\b){_S}*[\w\-]+(?:{_S}*(?:\.|\((?:точка|dot)\)|\[(?:точка|dot)\]|\bточка\b|\bdot\b){_S}*[A-Za-zА-Яа-я\-]{{2,}})+)",
+    rf"(?P<mail>[\w.+\-]+{_S}*(?:@|\((?:собака|[aа][tт])\)|\[(?:собака|[aа][tт])\]|\bсобака\b|\b[aа][tт]\b){_S}*[\w\-]+(?:{_S}*(?:\.|\((?:точка|dot)\)|\[(?:точка|dot)\]|\bточка\b|\bdot\b){_S}*[A-Za-zА-Яа-я\-]{{2,}})+)",
     re.IGNORECASE,
 )
-_MAIL_SIGN = re.compile(r"@|\bсобака\b|[(\[ ](?:at|AT|At)[)\] ]", re.IGNORECASE)
+_MAIL_SIGN = re.compile(r"@|\bсобака\b|[(\[ ][aа][tт][)\] ]", re.IGNORECASE)  # a form in capitals may have come out in Cyrillic letters
 _FORMS = re.compile(
     "(?=[0-9+])(?:" + "|".join((
         rf"(?P<card>(?<!\d)\d{{4}}(?P<cs>[ .\-]{{0,2}})\d{{4}}(?P=cs)\d{{4}}(?P=cs)\d{{4}}(?!\d))",
@@ -51,25 +55,22 @@ _FORMS = re.compile(
     )) + ")",
     re.IGNORECASE,
 )
-_TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_")
+_TOKEN = re.compile(r"(\s*)(\d+|[^\W\d_]+|[^\w\s]|_)")
+_DIGITS = re.compile(r"\d.?\d")
 #: Words that tell the kind of a number or name near them, by the kind.
-CUES = {
-    "инн": "inn", "снилс": "snils", "паспорт": "passport", "паспорта": "passport", "passport": "passport", "серия": "passport", "серии": "passport",
-    "карта": "card", "карту": "card", "карты": "card", "card": "card", "телефон": "phone", "тел": "phone", "phone": "phone", "call": "phone", "звоните": "phone", "номеру": "phone",
-    "рождения": "birth", "родился": "birth", "родилась": "birth", "рожд": "birth", "born": "birth", "рожден": "birth", "birth": "birth", "р": "birth",
-    "почта": "mail", "email": "mail", "почту": "mail", "mail": "mail",
-    "договор": "other", "договора": "other", "договору": "other", "заказ": "other", "заказа": "other", "артикул": "other", "заявка": "other", "заявки": "other", "чек": "other", "чеке": "other",
-    "трек": "other", "тикет": "other", "обращение": "other", "обращения": "other", "накладной": "other", "накладная": "other", "счёт": "other", "ticket": "other", "order": "other", "invoice": "other",
-    "посылка": "other", "корзине": "other", "код": "other", "лист": "other", "ряд": "other", "партию": "other",
-    "магазин": "org", "магазина": "org", "магазине": "org", "ооо": "org", "ао": "org", "ип": "org", "пао": "org", "бренда": "org", "марка": "org", "марки": "org", "роман": "org", "книга": "org",
-    "тариф": "org", "тарифу": "org", "тарифа": "org", "отдел": "org", "товар": "org", "набор": "org", "модель": "org", "модели": "org", "чайник": "org", "группу": "org", "касса": "org", "поставщик": "org", "shop": "org",
-    "город": "town", "городе": "town", "города": "town", "г": "town", "пос": "town", "село": "town", "деревня": "town", "склад": "town", "пункт": "town",
-    "ул": "street", "улица": "street", "улице": "street", "улицы": "street", "пер": "street", "переулок": "street", "наб": "street", "набережная": "street", "проспект": "street", "пр": "street",
-    "шоссе": "street", "площадь": "street", "пл": "street", "бульвар": "street", "street": "street", "lane": "street", "avenue": "street", "road": "street", "проезд": "street", "тупик": "street",
-    "дом": "house", "д": "house", "кв": "house", "квартира": "house", "оф": "house", "офис": "house", "домофон": "house", "под": "house", "эт": "house", "корпус": "house", "стр": "house", "flat": "house", "apt": "house",
-    "адрес": "address", "адресу": "address", "зовут": "name", "name": "name", "получатель": "name", "получателя": "name", "оператор": "name", "фамилию": "name", "правильно": "name", "спросить": "name",
-    "говорил": "name", "ведёт": "name", "передан": "name", "заявитель": "name", "менеджер": "name", "свяжитесь": "name", "принял": "name", "проверил": "name", "согласовано": "name", "это": "name", "общался": "name",
+_CUE_WORDS = {
+    "inn": "инн іпн", "snils": "снилс", "passport": "паспорт паспорта паспорте паспортные passport серия серии серию",
+    "card": "карта карту карты карте card karte картка картку", "phone": "телефон телефону тел моб phone call telefon звоните перезвоните позвоните номеру",
+    "birth": "рождения родился родилась рожд рожден рождён born birth geboren geburtsdatum народження народився народилась р",
+    "mail": "почта почту почте email mail пошта", "address": "адрес адресу адреса address adresse",
+    "other": "договор договора договору договоре заказ заказа заказу заказе артикул артикула заявка заявки заявке заявку чек чека чеку чеке трек тикет тикета обращение обращения обращению счёт счёта счёту контракт квитанция полис накладная накладной накладную код акт ticket order invoice contract case bestellung rechnung vertrag vorgang замовлення договір рахунок звернення",
+    "org": "магазин магазина магазине ооо ао пао компания компании фирма бренд бренда марка марки тариф тарифу тарифа отдел группа группу книга книги роман товар модель модели поставщик сервис приложение shop brand store firma крамниця крамниці аптека кафе салон",
+    "town": "город городе города г пос село деревня склад склада пункт пункте місто міста",
+    "street": "ул улица улице улицы пер переулок переулке наб набережная проспект пр просп шоссе площадь пл бульвар б street lane avenue road square drive straße str вул вулиця проезд тупик",
+    "house": "дом д кв квартира оф офис корпус корп стр под эт flat apt apartment suite wohnung буд",
+    "name": "зовут name получатель получателя заявитель клиент оператор менеджер специалист контакт фамилия фамилию ответственный heiße звати frau herr mr свяжитесь проверил",
 }
+CUES = {w: k for k, ws in _CUE_WORDS.items() for w in ws.split()}
 _SUFFIX = (
     ("patr", re.compile(r"(?:ович|евич|ович[аеу]|евич[аеу]|овичем|евичем|овн[ауые]|евн[ауые]|овной|евной|инична)$")),
     ("fam", re.compile(r"(?:ов|ев|ёв|ин|ын)$")),
@@ -114,42 +115,35 @@ def _word_class(w: str, known: frozenset[str], names: frozenset[str]) -> tuple[s
 
 @dataclass(frozen=True)
 class Sentence:
-    """Tokens with offsets, and for each its class: all that the features look at."""
+    """Tokens with the white space before each, and for each its class: all that the features look at."""
 
-    spans: list[tuple[int, int]]
-    classes: tuple
+    gaps: list[str]
     words: list[str]
+    classes: tuple
+
+    @property
+    def spans(self) -> list[tuple[int, int]]:
+        out, at = [], 0
+        for g, w in zip(self.gaps, self.words):
+            a = at + len(g)
+            at = a + len(w)
+            out.append((a, at))
+        return out
+
+
+def _snils_digits(w: str) -> bool:
+    """Whether the last two of eleven digits are the check digits of a SNILS."""
+    return sum((9 - i) * int(c) for i, c in enumerate(w[:9])) % 101 % 100 == int(w[9:])
 
 
 def analyse(text: str, known: frozenset[str], memo: dict[str, tuple], names: frozenset[str]) -> Sentence:
     """Tokens of a text in consistent form. Equal tuples of classes get equal labels (but for skip links)."""
-    forms: dict[int, str] = {}
-    spans, classes, words = [], [], []
-    hits = [(m.start(), m.end(), m.lastgroup) for m in _FORMS.finditer(text)]
-    if _MAIL_SIGN.search(text):
-        mails = [(m.start(), m.end(), "mail") for m in _MAIL.finditer(text)]
-        hits = sorted(mails + [h for h in hits if not any(a < h[1] and h[0] < b for a, b, _ in mails)])
-    k = 0
-    n_hits, end = len(hits), 0
-    for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        w = m.group()
-        form = pos = ""
-        if n_hits:
-            while k < n_hits and hits[k][1] <= a:
-                k += 1
-            if k < n_hits and hits[k][0] <= a:
-                h = hits[k]
-                form, pos = h[2], "B" if a == h[0] or end <= h[0] else "I"
-                if form == "n":
-                    form = f"n{min(b - a, 20)}"
-                    if b - a in (10, 11):
-                        form += "p" if w[0] in "78" and w[1] == "9" or b - a == 10 and w[0] == "9" and w[1] not in "68" else ""
-                elif form == "date":
-                    if pos == "B":
-                        y = re.search(r"(?:19|20)\d\d", text[h[0] : h[1]])
-                        forms[h[0]] = "date_old" if y and int(y.group()) < 2008 else "date_new"
-                    form = forms.get(h[0], "date_new")
+    pairs = _TOKEN.findall(text)
+    if not pairs:
+        return Sentence([], [], ())
+    gaps, words = map(list, zip(*pairs))
+    cs = []
+    for w in words:
         c = memo.get(w)
         if c is None:
             if w[0].isalpha():
@@ -159,13 +153,32 @@ def analyse(text: str, known: frozenset[str], memo: dict[str, tuple], names: fro
             else:
                 c = (w, "", "", "", "")
             memo[w] = c
-        if form:
-            c = (*c[:3], form, pos)
-        classes.append((c, a > end > 0))
-        spans.append((a, b))
-        words.append(w)
-        end = b
-    return Sentence(spans, tuple(classes), words)
+        cs.append(c)
+    hits = [(m.start(), m.end(), m.lastgroup) for m in _FORMS.finditer(text)] if _DIGITS.search(text) else []
+    if _MAIL_SIGN.search(text):
+        mails = [(m.start(), m.end(), "mail") for m in _MAIL.finditer(text)]
+        hits = sorted(mails + [h for h in hits if not any(a < h[1] and h[0] < b for a, b, _ in mails)])
+    if hits:
+        ends = list(accumulate(map(len, chain.from_iterable(pairs))))
+        starts, ends = ends[::2], ends[1::2]
+        for lo, hi, form in hits:
+            i = bisect_left(starts, lo)
+            if form == "date":
+                y = re.search(r"(?:19|20)\d\d", text[lo:hi])
+                form = "date_old" if y and int(y.group()) < 2008 else "date_new"
+            elif form == "n":
+                w, n = text[lo:hi], hi - lo
+                form = f"n{min(n, 20)}"
+                if n == 11 and _snils_digits(w):
+                    form += "s"
+                elif n in (10, 11):
+                    form += "p" if w[0] in "78" and w[1] == "9" or n == 10 and w[0] == "9" and w[1] not in "68" else ""
+            pos = "B" if i < len(starts) and (starts[i] == lo or not i or ends[i - 1] <= lo) else "I"
+            while i < len(starts) and starts[i] < hi:
+                cs[i] = (*cs[i][:3], form, pos)
+                pos = "I"
+                i += 1
+    return Sentence(gaps, words, tuple(zip(cs, [bool(g) for g in gaps])))
 
 
 def _id(x: str, memo: dict[str, int] = {}) -> int:  # noqa: B006 - a table of few fixed strings
@@ -236,16 +249,18 @@ def features(sentences: list[Sentence]) -> list[np.ndarray]:
                 h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             out[:, k] = (h % np.uint64(_N_FEATURES - 1)).astype(np.int64) + 1
-    return [out[a : a + len(s.spans)] for a, s in zip(starts, sentences)]
+    return [out[a : a + len(s.words)] for a, s in zip(starts, sentences)]
 
 
 def skip_links(s: Sentence) -> list[tuple[int, int]]:
     """Pairs of distant tokens that are the same word, or a long word and its inflection: capitalised or name-like ones, each linked to the one before."""
     last: dict[str, int] = {}
     out = []
-    for i, w in enumerate(s.words):
-        c = s.classes[i][0]
-        if len(w) < 4 or not w[0].isalpha() or c[0] not in ("?", "@"):
+    for i, (c, _) in enumerate(s.classes):
+        if c[0] != "?" and c[0] != "@":
+            continue
+        w = s.words[i]
+        if len(w) < 4:
             continue
         key = w.lower()[: max(4, len(w) - 2)] if len(w) > 5 else w.lower()
         if key in last and i - last[key] > 1:
@@ -255,15 +270,18 @@ def skip_links(s: Sentence) -> list[tuple[int, int]]:
 
 
 def labels_of(s: Sentence, spans: list[tuple[int, int, str]]) -> np.ndarray:
-    y = np.zeros(len(s.spans), dtype=np.int64)
+    y = np.zeros(len(s.words), dtype=np.int64)
+    places = s.spans
     for a, b, t in spans:
-        inside = [i for i, (x, z) in enumerate(s.spans) if x < b and z > a]
+        inside = [i for i, (x, z) in enumerate(places) if x < b and z > a]
         for k, i in enumerate(inside):
             y[i] = LABELS.index(f"{'I' if k else 'B'}-{t}")
     return y
 
 
 def spans_of(s: Sentence, y: np.ndarray) -> list[tuple[int, int, str]]:
+    if not y.any():
+        return []
     out: list[list] = []
     for (a, b), k in zip(s.spans, y):
         if k:
@@ -310,17 +328,18 @@ class Tagger:
             if not text:
                 continue
             form, where = aligned_form(text)
-            for s in _cut(analyse(form, self.known, self.memo, self.names)):
-                links = skip_links(s)
-                key = (s.classes, tuple(links))
-                jobs.append((d, where, s))
-                keys.append(key)
-                if key not in self.cache and key not in todo:
-                    todo[key] = (s, links)
-        pending = sorted(todo.items(), key=lambda x: len(x[1][0].spans))
+            s = analyse(form, self.known, self.memo, self.names)
+            if not s.words:
+                continue
+            links = skip_links(s)
+            key = (s.classes, tuple(links))
+            jobs.append((d, where, s))
+            keys.append(key)
+            if key not in self.cache and key not in todo:
+                todo[key] = (s, links)
+        pending = sorted(todo.items(), key=lambda x: len(x[1][0].words))
         fresh: dict[tuple, np.ndarray] = {}
-        for i in range(0, len(pending), 64):
-            part = pending[i : i + 64]
+        for part in crf.by_size(pending, [len(x[1][0].words) for x in pending]):
             for (key, _), y in zip(part, crf.decode(self.model, features([s for _, (s, _) in part]), [k for _, (_, k) in part])):
                 fresh[key] = y
         for (d, where, s), key in zip(jobs, keys):
@@ -336,24 +355,10 @@ class Tagger:
         return out
 
 
-def _cut(s: Sentence) -> list[Sentence]:
-    """Chains of at most _LONGEST tokens, cut after a sentence end where there is one."""
-    if not s.spans:
-        return []
-    out, i, n = [], 0, len(s.spans)
-    while i < n:
-        j = min(n, i + _LONGEST)
-        if j < n:
-            j = next((k for k in range(j, i + _LONGEST // 2, -1) if s.words[k - 1] in ".!?"), j)
-        out.append(Sentence(s.spans[i:j], s.classes[i:j], s.words[i:j]))
-        i = j
-    return out
-
-
 def fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
-    """A tagger from texts with spans (start, end, type) and the written examples."""
+    """A tagger from texts with spans (start, end, type), and VARIANTS rule-made variants for each."""
     forms = []
-    for text, spans in [*examples, *written_examples()]:
+    for text, spans in [*examples, *variants(examples, VARIANTS * len(examples))]:
         form, where = aligned_form(text)
         if where is not None:
             back = {}
@@ -364,7 +369,7 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
         forms.append((form, spans))
     count: dict[str, int] = {}
     inside: dict[str, int] = {}
-    for form, spans in forms:
+    for form, spans in forms[: len(examples)]:
         seen = {}
         for m in re.finditer(r"[^\W\d_]+", form.lower()):
             seen[m.group()] = any(t == "PERSON" and x <= m.start() < y for x, y, t in spans)
@@ -375,7 +380,7 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
     names = frozenset(w for w, n in count.items() if n >= 3 and len(w) > 2 and inside[w] > n / 2)
     memo: dict[str, tuple] = {}
     sentences = [analyse(form, known, memo, names) for form, _ in forms]
-    pairs = [(s, spans) for s, (_, spans) in zip(sentences, forms) if 0 < len(s.spans) <= _LONGEST]
+    pairs = [(s, spans) for s, (_, spans) in zip(sentences, forms) if s.words]
     docs = list(zip(features([s for s, _ in pairs]), [labels_of(s, spans) for s, spans in pairs])) if pairs else []
     skips = [skip_links(s) for s, _ in pairs]
     if not docs:
@@ -384,200 +389,6 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
     return Tagger(crf.fit(docs, LABELS, _N_FEATURES, skips, epochs=5), known, names)
 
 
-#: Sentences written for this project, of kinds that the labelled records lack: dates that are no births, numbers that are
-#: no documents, names at sentence ends. {type|value} marks an entity. They are fitted on beside the sample.
-WRITTEN = """
-Счёт-фактура {n7} от {new}, поставщик Ромашка
-Нужна справка {n7} от {new}, отдел Север
-Заявка отложена до {new}
-Диалог отложен до {new}
-Промокод AR{n6} действует до {new} на товары Вектор.
-По заказу {n7} доставка перенесена на {new}, город Заречье.
-Обращение {n7} передано в отдел «Север», ответ придёт {new}.
-Заказ №{n10} из магазина «Вектор» не пришёл, обещали {new}.
-Заказ № {n10} из магазина «Вектор» не пришёл, обещали {new}
-Заказ N{n10} из магазина «Лада» не пришёл, обещали {new}.
-Заказ {n10} из магазина «Лада» потерян
-Пункт выдачи в городе Заречье закрыт с {new}, куда поедет заказ {n7}?
-Курьер приедет по адресу {ADDRESS|б-р Садовый, 12/3} {new}.
-Курьер приедет по адресу {ADDRESS|630100, Заречье, Садовая улица 38, оф. 21} {new}.
-Курьер приедет по адресу {ADDRESS|Заречье, Садовая наб., д.13 под.3 эт.6} {new}.
-Курьер приедет по адресу {ADDRESS|г. Заречье, ул. Садовая, д. 47, кв. 23} {new}.
-Курьер приедет по адресу {ADDRESS|ул Садовая 51-76} {new}.
-Курьер приедет по адресу {ADDRESS|Садовый переулок, дом 59} {new}.
-Курьер приедет по адресу {ADDRESS|город заречье улица садовая дом 117 квартира 125} {new}.
-Курьер приедет по адресу {ADDRESS|пос. Заречье, пер. Садовый, 79в} {new}.
-Артикул № {n10} пришёл не того цвета, марка Вектор
-Артикул {n10} пришёл не того цвета, марка Вектор
-Артикул №{n10} пришёл не того цвета, марка Вектор
-Артикул N{n10} пришёл не того цвета, марка Лада
-Договор {c226} по тарифу «Север» продлили без моего согласия
-ИНН {INN|7707083893}, договор {c226}
-ИНН {INN|7707 083893}, договор {c226}
-ИНН организации в чеке {n7} не указан, почему? Касса Вектор
-ИНН организации в чеке {n7} не указан
-В заявке {n7} паспорт не нужен? Тариф Север
-Магазин «Вера» в городе Заречье не принимает возврат TX{n6}
-Магазин «Надежда» не принимает возврат
-Надежда только на вас: счёт {n7} висит со вчерашнего дня, магазин Вектор
-Роман «Вектор и море» в каталоге есть? артикул {n7}
-Ёлка «Лада» приехала сломанной, заказ {n7}, её ёмкость не заявленная
-Набор «Мастер и Маргарита» пришёл без книги
-Трек-номер ZK{n6} не отслеживается уже 9 дней, отправляли из города Заречье
-Ваш трек-номер {n10} в пути.
-Номер заказа 1234 567890 не приходит
-Оплатил 42 500 рублей через Вектор, а чек {n7} так и не пришёл
-Хочу вернуть чайник Вектор Lada, чек {n7} на сумму 46 000 руб.
-Мой заказ {n7}: пришёл не Вектор, а Север. Всё ещё жду ответа
-Телефон Vektor не включается после обновления 25.22, гарантия AR{n6}
-Приложение Vektor вылетает на шаге 22, код ошибки TX{n6}, версия 13.12
-Тариф Vektor+ стоит 1900 руб.? На сайте Север другая цена, заявка {n7}
-Курьер из Вектор опоздал на 24 часа, заказ {n7}, ещё и коробка мятая
-Обращение закрыто. Статус изменён: решено. Метка TX{n6} добавлена
-Диалог назначен на группу Север
-проверить склад Заречье
-ждём ответ от Вектор
-Сейчас нерабочее время, ответим после 12:30
-Why was I charged twice for Vektor? Ticket {n7}
-Warum wurde Vektor zweimal abgebucht? Vorgang {n7}
-Guten Tag, die Bestellung {n7} von Vektor ist in Nordstadt noch nicht angekommen
-Hello, order {n7} from Vektor has not arrived in Northville yet
-Parcel ZK{n6} for shop Vektor was left at the wrong door, ticket {n7}
-Please refund invoice {n7}, the Vektor kettle is broken
-Tracking TX{n6} shows Northville since last week, any news?
-The Vektor app crashes at step 27, code ZK{n6}
-Доброго дня, замовлення {n7} з крамниці Вектор ще не надійшло до міста Заріччя
-Чому списали 27 разів за підписку Vektor? Звернення {n7}
-Посилка ZK{n6} загубилась, підкажіть, будь ласка, де її шукати, магазин Вектор
-Ship it to {ADDRESS|568 North Street, flat 80}, order {n7}
-Ship it to {ADDRESS|28 Maple Lane, apt 13}, order {n7}
-Please deliver to {ADDRESS|14 Green Avenue, apt 2}, ticket {n7}
-My name is {PERSON|Walter Greene}, please call {PHONE_NUMBER|+79660835904}
-My name is {PERSON|Alice Brown}, please call {PHONE_NUMBER|8 952 032 89 82}
-Write me at {EMAIL_ADDRESS|w.greene@inbox.invalid}, ticket {n7}
-card {CREDIT_CARD|4000 0014 5870 4392} was declined, order {n7}
-My card {CREDIT_CARD|4000-0014-5870-4392} was declined
-Переведите возврат {n7} на карту {CREDIT_CARD|4000 0004 9787 5098}
-Переведите возврат {n7} на карту {CREDIT_CARD|4000000497875098}. Ёлка «Лада» приехала сломанной
-карта {CREDIT_CARD|5100 0067 7714 3947}, получатель {PERSON|Борис Викторович Соколов}
-Это {PERSON|СОКОЛОВ ОЛЕГ ПЕТРОВИЧ}. Доставьте по адресу: {ADDRESS|пос. Заречье, пер. Садовый, 79в}. почему списали 37 500 руб.
-Это {PERSON|Соколова Мария}. Доставьте по адресу: {ADDRESS|ул Садовая 11-13}
-Это {PERSON|Мария Сергеевна}. Доставьте по адресу: {ADDRESS|б-р Садовый, 130/6}
-данные: {PERSON|Соколов Юрий Викторович}, паспорт {PASSPORT|9691083705}, {DATE_OF_BIRTH|25-01-1993} г.р.
-данные: {PERSON|Соколова О. П.}, паспорт {PASSPORT|серии 96 96 № 637 115}, {DATE_OF_BIRTH|17.04.1991} г.р.. Склад Заречье отгрузил 2 из 17 коробок
-данные: {PERSON|Ольга Павловна Соколова}, паспорт {PASSPORT|9661-950810}, {DATE_OF_BIRTH|1945-11-26} г.р.
-родился {DATE_OF_BIRTH|1955-08-17}, почему не проходит проверка заявки {n7}?
-родилась {DATE_OF_BIRTH|25/02/1960}, заявка {n7}
-Дата рождения {DATE_OF_BIRTH|09.01.1983}, фамилию вы исказили, правильно {PERSON|Тимур Соколов}
-Дата рождения {DATE_OF_BIRTH|13-05-1969}, фамилию вы исказили, правильно {PERSON|Соколова Инна}. В заявке {n7} паспорт не нужен?
-вот данные {PERSON|Соколов Юрий Семёнович} {DATE_OF_BIRTH|27/09/2004} {SNILS|92830076709}
-вот данные {PERSON|Соколова Анна Семёновна} {DATE_OF_BIRTH|27 июля 1974 г.} {SNILS|928-300-767 09}
-{PERSON|Захар Борисович Соколов} {PHONE_NUMBER|+44 04 0420 452} {EMAIL_ADDRESS|sofya.sokolova@yashik.example}
-{PERSON|Соколова Жанна}, {ADDRESS|г. Заречье, ул. Садовая, д. 32, кв. 22}, {PHONE_NUMBER|+7.966.032.92.58}
-{PERSON|Тамара Соколова}, {ADDRESS|Садовый переулок, дом 121}, {PHONE_NUMBER|+79190300397}
-{PERSON|Соколов Артём}, {ADDRESS|б-р Садовый, 107/4}, {PHONE_NUMBER|89470320302}
-Адрес изменился: {ADDRESS|б-р Садовый, 134/1}. Заказ {n7}
-Отправили письмо на {EMAIL_ADDRESS|t.sokolov@pochta.example}.
-{PERSON|Зимина Вера} пишет третий день. Прошу ответить, {PERSON|Зимина Вера}
-Звонил {PERSON|Пётр Зимин}, просил передать: {PERSON|Пётр Зимин} ждёт ответа
-Товар Вектор не пришёл, магазин обещал, что Вектор будет завтра
-{PERSON|Анна Соколова} {PHONE_NUMBER|8 904 042 04 52} {EMAIL_ADDRESS|sofya77 собака yashik точка example}
-{PERSON|Ульяна Соколова}, ваша заявка {n7} оформлена.
-{PERSON|СОКОЛОВА ЗОЯ ДЕНИСОВНА}, ваша заявка {n7} оформлена.
-С вами говорил {PERSON|Соколова Кира}? Обещал 6300 р
-С вами говорил {PERSON|тамара соколова}? Обещал 30 500 руб.
-Я уже общался с {PERSON|М. Соколовой}, обращение {n7}
-Обращение {n7} ведёт {PERSON|Соколова С. К.}.
-Обращение {n7} ведёт {PERSON|Никита Петрович Соколов}.
-Вопрос передан {PERSON|Соколову}, ответит до 19:20
-Вас приветствует оператор {PERSON|Р.В. Соколова}. Чем помочь?
-Вас приветствует оператор {PERSON|тимур соколов}. Чем помочь?
-Заявка от {PERSON|Соколовой}, магазин Вектор
-тел{PHONE_NUMBER|79100774022}, спросить {PERSON|Соколова}
-тел {PHONE_NUMBER|+7 ( 973 ) 086 - 09 - 86}, спросить {PERSON|Соколова Я. В.}.
-тел{PHONE_NUMBER|8 949 048 33 24}, спросить {PERSON|Соколову}
-Номер {PHONE_NUMBER|8 902 057 13 42} больше не мой, новый {PHONE_NUMBER|79660204564}
-Подтвердите номер {PHONE_NUMBER|+90 56 0717 653}, пожалуйста.
-Подтвердите номер {PHONE_NUMBER|991-090-66-80}, пожалуйста.
-Проверяем ИНН {INN|98-95-77680951}, ожидайте.
-Проверяем ИНН {INN|964182196147}, ожидайте.
-ИНН плательщика {INN|9688 47114144}, почта {EMAIL_ADDRESS|u.sokolov@mail.test}
-инн:{INN|9877967928} снилс:{SNILS|759-913-010 37}
-инн:{INN|98-95-315989} снилс:{SNILS|807.442.116-83}. Роман «Лада и море» в каталоге есть?
-СНИЛС {SNILS|79081912130}, кому выслать? заявка {n7}
-мой снилс {SNILS|732-617-536 96} и паспорт {PASSPORT|серия 9613 номер 524209}. Артикул № {n10} пришёл не того цвета
-мой снилс {SNILS|92367495141} и паспорт {PASSPORT|9694 128169}
-Паспорт {PASSPORT|9628-449288}, выдан в городе Заречье
-Паспорт {PASSPORT|серии 98 14 № 645 198}, выдан в городе Заречье
-Запишите: {PERSON|Соколов Кирилл}\nтел.: {PHONE_NUMBER|8 996 072 43 53}\nадрес: {ADDRESS|498440, Заречье, Садовая улица 69, оф. 286}
-Запишите: {PERSON|Соколова Софья Марковна}\nтел.: {PHONE_NUMBER|+7 (972) 0744157}\nадрес: {ADDRESS|Садовый переулок, дом 59}
-Получатель {PERSON|жанна соколова}, посылка ZK{n6}, {ADDRESS|город заречье улица садовая дом 117 квартира 125}.
-Получатель {PERSON|СОКОЛОВ РОДИОН ЕГОРОВИЧ}, посылка TX{n6}, {ADDRESS|б-р Садовый, 119/1}
-жду курьера: {ADDRESS|Садовый переулок, дом 84, домофон 24}
-жду курьера: {ADDRESS|780271, Заречье, Садовая улица 103, оф. 17}
-жду курьера: {ADDRESS|г. Заречье, ул. Садовая, д. 58, кв. 52}
-{PERSON|Соколова А. Б.}
-{PERSON|Анна Петровна Соколова}
-{PERSON|виктор соколов}
-{PERSON|Мария Сергеевна}
-{PERSON|И.П. Соколов}, тел. {PHONE_NUMBER|89390164094}
-{PHONE_NUMBER|8-929-055-05-95} ({PERSON|Вера Соколова})
-{EMAIL_ADDRESS|sokolov_egor @ pochta . example}; {EMAIL_ADDRESS|sokolov-511[at]box[dot]example}
-{PHONE_NUMBER|+7 927–051–05–79}
-{PHONE_NUMBER|79510299631}
-{PHONE_NUMBER|967-040-15-82}
-{EMAIL_ADDRESS|LOKOT61@BOX.EXAMPLE}
-ООО «Вектор»
-АО Вектор
-магазин Вектор
-Терминал самообслуживания
-Visitor 396
-доб. 662
-"""
-#: What stands for the marks of WRITTEN without a type, several forms each.
-_FILL = {
-    "n7": ("7015860", "399351", "4820117"), "n6": ("158772", "906739", "202665"), "n10": ("1802614691", "1061668213", "1396722477"), "c226": ("12 59 986335", "12 72 835749", "12 93 814100"),
-    "new": ("07.10.2022", "19.08.2024", "05.04.2021"),
-}
-
-
-#: Other forms of the marked values of WRITTEN, which take turns. Inflected names keep the written form.
-_FORMS_OF = {
-    "PERSON": ("Соколов Олег", "Анна Петровна Соколова", "Соколова А. Б.", "И.П. Соколов", "СОКОЛОВ ИЛЬЯ ПЕТРОВИЧ", "мария соколова", "Зимина Вера", "Пётр Зимин", "Зимина Вера Олеговна", "Вера Олеговна", "О. Зимин", "Зимин П. О."),
-    "PHONE_NUMBER": ("79130685109", "89470320302", "+79190300397", "8-929-055-05-95", "8(931)072-31-89", "+7 927–051–05–79", "+7.978.055.08.25", "+7 985 092-43-58", "8 915 035 75 99", "+7 (912) 0369487", "967-040-15-82", "+7 ( 976 ) 068 - 16 - 39", "+49 09 0232 736", "+998 63 0484 403"),
-    "SNILS": ("71182647893", "79081912130", "92830076709", "85911490753", "732-617-536 96", "744 136 444 91", "807.442.116-83"),
-    "INN": ("7707083893", "964182196147", "98-95-315989", "98-95-77680951", "9697 006844", "9688 47114144", "6315004400"),
-    "PASSPORT": ("9691083705", "9694 128169", "9628-449288", "9890№834199", "96 83 422657", "серия 9613 номер 524209", "серии 98 14 № 645 198", "4510 123456"),
-    "DATE_OF_BIRTH": ("09.01.1983", "13-05-1969", "25/02/1960", "1955-08-17", "27 июля 1974 г.", "2 декабря 1986 года", "8 марта 2001 г.", "11.11.2004"),
-    "CREDIT_CARD": ("4000 0014 5870 4392", "4000-0014-5870-4392", "4000.0014.5870.4392", "4000001458704392", "5100  0067  7714  3947"),
-    "EMAIL_ADDRESS": ("sokolov_egor @ pochta . example", "sokolov-511[at]box[dot]example", "e.sokolov (собака) firma точка example", "sokolov56 собака inbox точка invalid", "LOKOT61@BOX.EXAMPLE", "zimin.petr@mail.test", "zimin-p (at) mail (dot) test"),
-    "ADDRESS": ("б-р Садовый, 12/3", "630100, Заречье, Садовая улица 38, оф. 21", "Заречье, Садовая наб., д.13 под.3 эт.6", "г. Заречье, ул. Садовая, д. 47, кв. 23", "ул Садовая 51-76", "Садовый переулок, дом 59", "город заречье улица садовая дом 117 квартира 125", "пос. Заречье, пер. Садовый, 79в", "проспект Садовый, 81 корп 2, квартира 213"),
-}
-_INFLECTED = frozenset(("М. Соколовой", "Соколовой", "Соколову"))
-
-
-def written_examples(forms: int = 6) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The sentences of WRITTEN with spans, each with several fillings and forms of its values."""
-    out = []
-    turn = dict.fromkeys(_FORMS_OF, 0)
-    for line in WRITTEN.strip().split("\n"):
-        for k in range(forms):
-            text, spans = "", []
-            for part in re.split(r"(\{[^}]*\})", line.replace("\\n", "\n")):
-                if part[:1] == "{":
-                    kind, _, value = part[1:-1].partition("|")
-                    if value and k and value not in _INFLECTED and (kind != "ADDRESS" or not value.isascii()):
-                        value = _FORMS_OF[kind][turn[kind] % len(_FORMS_OF[kind])]
-                        turn[kind] += 1
-                    if value:
-                        spans.append((len(text), len(text) + len(value), kind))
-                    text += value or _FILL[kind][k % 3]
-                else:
-                    text += part
-            out.append((text, spans))
-    return out
-
-
 def _sampled(df: DataFrame, key: str, n: int) -> DataFrame:
     total = df.select(F.approx_count_distinct(key)).first()[0]
     rate = min(1.0, n / max(1, total))
