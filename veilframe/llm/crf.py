@@ -113,7 +113,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
     order = np.argsort([len(y) for _, y in docs], kind="stable")
     groups = by_size(order.tolist(), [len(docs[i][1]) for i in order])
     rng = np.random.default_rng(7)
-    for _ in range(epochs):
+    mean, steps = [np.zeros_like(emit), np.zeros_like(trans), np.zeros_like(start)], 0
+    for epoch in range(epochs):
         for g in rng.permutation(len(groups)):
             part = [docs[i] for i in groups[g]]
             u, mask = _unary([f for f, _ in part], emit)
@@ -142,6 +143,12 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
             ds = np.where(start > -1e3, (gold - node)[:, 0].sum(axis=0), 0)
             gs += ds**2
             start += rate * ds / np.sqrt(gs)
+            if epoch >= epochs // 2:  # the weights are averaged over the later steps, so they depend less on single records
+                steps += 1
+                for m, w in zip(mean, (emit, trans, start)):
+                    m += (w - m) / steps
+    if steps:
+        emit, trans, start = mean
     model = CRF(labels, emit, trans, start, 0.0)
     ty = model.types
     same = [ty[docs[d][1][i]] == ty[docs[d][1][j]] for d, links in enumerate(skips) for i, j in links]

@@ -64,7 +64,7 @@ _CUE_WORDS = {
     "birth": "рождения родился родилась рожд рожден рождён born birth geboren geburtsdatum народження народився народилась р",
     "mail": "почта почту почте email mail пошта", "address": "адрес адресу адреса address adresse",
     "other": "договор договора договору договоре заказ заказа заказу заказе артикул артикула заявка заявки заявке заявку чек чека чеку чеке трек тикет тикета обращение обращения обращению счёт счёта счёту контракт квитанция полис накладная накладной накладную код акт ticket order invoice contract case bestellung rechnung vertrag vorgang замовлення договір рахунок звернення",
-    "org": "магазин магазина магазине ооо ао пао компания компании фирма бренд бренда марка марки тариф тарифу тарифа отдел группа группу книга книги роман товар модель модели поставщик сервис приложение shop brand store firma крамниця крамниці аптека кафе салон",
+    "org": "магазин магазина магазине ооо ао пао компания компании фирма бренд бренда марка марки тариф тарифу тарифа отдел группа группу книга книги роман товар модель модели поставщик поставщика сервис сервиса приложение приложения приложении товары товара товаров фирмы книгу shop brand store firma крамниця крамниці аптека кафе салон",
     "town": "город городе города г пос село деревня склад склада пункт пункте місто міста",
     "street": "ул улица улице улицы пер переулок переулке наб набережная проспект пр просп шоссе площадь пл бульвар б street lane avenue road square drive straße str вул вулиця проезд тупик",
     "house": "дом д кв квартира оф офис корпус корп стр под эт flat apt apartment suite wohnung буд",
@@ -110,7 +110,7 @@ def _word_class(w: str, known: frozenset[str], names: frozenset[str]) -> tuple[s
     shape = "x" if w == low else "X" if len(w) == 1 else "XX" if w.isupper() else "Xx" if w[0].isupper() and w[1:] == low[1:] else "xX"
     suffix = next((n for n, p in _SUFFIX if len(low) > 3 and p.search(low)), "")
     script = "l" if low.isascii() else "c"
-    return "@" if low in names else low if low in known or low in CUES else "?", shape, suffix + script
+    return "@@" if low in names else low if low in known or low in CUES else "?", shape, suffix + script
 
 
 @dataclass(frozen=True)
@@ -213,7 +213,7 @@ def _columns(s: Sentence) -> list[tuple[int, ...]]:
         if q in ("street", "house", "birth", "town"):
             nxt = (i, q)
     return [
-        (_id(x[0]), _id(x[1] + "|"), _id(x[2] + "/"), _id(x[3]), _id(x[4] + "."), int(g), _id(a), _id(b + "2"), _id(d + ">"), _id(x[0] if x[0] != "?" else x[1] + x[2]), 0 if x[0].isalpha() or x[0][0] in "?@#" else _id(x[0]))
+        (_id(x[0]), _id(x[1] + "|"), _id(x[2] + "/"), _id(x[3]), _id(x[4] + "."), int(g), _id(a), _id(b + "2"), _id(d + ">"), _id(x[0] if x[0] != "?" else x[1] + x[2]), 0 if x[0].isalpha() or x[0] in ("?", "@@", "#") else _id(x[0]))
         for (x, g), a, b, d in zip(s.classes, last, second, after)
     ]
 
@@ -257,7 +257,7 @@ def skip_links(s: Sentence) -> list[tuple[int, int]]:
     last: dict[str, int] = {}
     out = []
     for i, (c, _) in enumerate(s.classes):
-        if c[0] != "?" and c[0] != "@":
+        if c[0] != "?" and c[0] != "@@":
             continue
         w = s.words[i]
         if len(w) < 4:

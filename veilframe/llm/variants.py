@@ -28,7 +28,7 @@ CUED = {
     "SNILS": ("СНИЛС", "снилс", "снилс:", "СНИЛС:", "мой снилс", "страховой номер"),
     "PASSPORT": ("паспорт", "Паспорт", "паспорт:", "мой паспорт", "паспорт РФ", "паспортные данные", "passport"),
     "CREDIT_CARD": ("карта", "карту", "карты", "на карту", "карта:", "номер карты", "card", "my card", "Karte", "картка"),
-    "PHONE_NUMBER": ("телефон", "тел.", "тел", "тел:", "номер", "мой номер", "звоните", "перезвоните на", "phone", "call", "please call", "Telefon", "телефон:", "контактный номер", "моб."),
+    "PHONE_NUMBER": ("телефон", "тел.", "тел", "тел:", "тел.:", "номер", "мой номер", "звоните", "перезвоните на", "phone", "call", "please call", "Telefon", "телефон:", "контактный номер", "моб."),
     "EMAIL_ADDRESS": ("почта", "email", "e-mail", "мой email", "почту", "пишите на", "на", "email:", "mail", "E-Mail", "пошта"),
     "ADDRESS": ("адрес", "адрес:", "по адресу", "адресу", "доставка", "доставьте", "живу", "address", "my address is", "address is", "deliver to", "ship to", "Adresse", "Adresse ist", "адреса"),
 }
@@ -36,7 +36,7 @@ CUED = {
 NAME_BEFORE = ("меня зовут", "это", "получатель", "получатель:", "заявитель", "клиент", "оператор", "менеджер", "специалист", "с вами", "от", "для", "передайте", "ответственный", "контакт", "с уважением,", "my name is", "this is", "I am", "ich heiße", "mein Name ist", "мене звати", "Frau", "Herr", "Mr.", "господин", "госпожа", "уважаемый", "фамилия", "")
 NAME_AFTER = (", добрый день", ", здравствуйте", ", ваш запрос принят", " ответит", " звонил", " звонила", " просит перезвонить", " на связи", " ждёт", "", "", "?", ".", "!")
 #: What a capitalised or quoted word after it is the name of, but no person.
-FIRMS = ("магазин", "магазина", "магазине", "ООО", "АО", "ПАО", "ИП-сеть", "компания", "компании", "фирма", "бренд", "бренда", "марка", "марки", "тариф", "тарифу", "тарифа", "книга", "книги", "роман", "фильм", "альбом", "отдел", "группа", "группу", "товар", "модель", "кафе", "салон", "аптека", "shop", "brand", "store", "Firma", "крамниця", "сервис", "поставщик", "склад", "город", "города", "городе", "пункт", "приложение", "телефон", "смартфон", "ноутбук", "принтер", "пылесос", "холодильник", "phone", "laptop")
+FIRMS = ("магазин", "магазина", "магазине", "ООО", "АО", "ПАО", "ИП-сеть", "компания", "компании", "фирма", "бренд", "бренда", "марка", "марки", "тариф", "тарифу", "тарифа", "книга", "книги", "роман", "фильм", "альбом", "отдел", "группа", "группу", "товар", "модель", "кафе", "салон", "аптека", "shop", "brand", "store", "Firma", "крамниця", "сервис", "сервиса", "поставщик", "поставщика", "приложения", "приложении", "товары", "товара", "товаров", "фирмы", "книгу", "склад", "город", "города", "городе", "пункт", "приложение", "телефон", "смартфон", "ноутбук", "принтер", "пылесос", "холодильник", "phone", "laptop")
 #: Polite phrases without a name.
 PHRASES = ("Добрый день", "Здравствуйте", "Спасибо большое", "Good morning", "Kind regards", "Dear Sir or Madam", "Guten Tag", "Guten Morgen", "Vielen Dank", "Mit freundlichen Grüßen", "Доброго дня", "Дякую", "Hello", "Hi there", "Thank you")
 #: Common words of the other languages of the chats.
@@ -151,10 +151,11 @@ def variants(examples: list[Example], n: int, seed: int = 11) -> list[Example]:
 
     def person() -> str:
         p = r.choice(persons)
-        if r.random() < 0.2 and full:  # a part of a name
+        part = bool(full) and r.random() < 0.2
+        if part:
             p = r.choice(surnames) if surnames and r.random() < 0.5 else r.choice(re.findall(r"[^\W\d_]{4,}", r.choice(full)) or [p])
             p = p.capitalize()
-        if r.random() < 0.15 and re.search("[а-яё]", p.lower()):
+        if not part and " " in p and r.random() < 0.18:
             p = latin(p).title()
         if r.random() < 0.08 and len(p.split()) == 2 and "." not in p:
             p = ", ".join(reversed(p.split()))
@@ -212,11 +213,13 @@ def variants(examples: list[Example], n: int, seed: int = 11) -> list[Example]:
         sep = r.choice((",", ",", ";", "", "", "\n"))
         kinds = r.sample([k for k in ("PHONE_NUMBER", "EMAIL_ADDRESS", "ADDRESS", "DATE_OF_BIRTH", "SNILS") if values.get(k)], k=min(r.randint(1, 3), sum(map(bool, values.values()))) if values else 0)
         for i, k in enumerate(["PERSON", *sorted(kinds, key=lambda k: (k != "DATE_OF_BIRTH", k != "SNILS", r.random()))]):
-            v = (person() if persons else "") if k == "PERSON" else a_date(r, True) if k == "DATE_OF_BIRTH" else value(k)
+            while k == "SNILS" and "DATE_OF_BIRTH" not in kinds and re.fullmatch(r"[78]9\d{9}", v := value(k) or "") and r.random() < 0.98:
+                pass  # after a name alone, such digits are a telephone
+            v = v if k == "SNILS" and "DATE_OF_BIRTH" not in kinds else (person() if persons else "") if k == "PERSON" else a_date(r, True) if k == "DATE_OF_BIRTH" else value(k)
             if v:
                 t.add(sep, glue="") if i else None
-                if r.random() < 0.2 and k in CUED:
-                    t.add(r.choice(CUED[k]))
+                if r.random() < 0.3 and k in CUED:
+                    t.add(cue(k))
                 t.entity(v, k)
         return t.done() if r.random() < 0.6 else around(t)
 
@@ -277,6 +280,15 @@ def variants(examples: list[Example], n: int, seed: int = 11) -> list[Example]:
         tail = r.choice((words(1, 4), f"{r.choice(CUED['PASSPORT'])} {words(1, 2)}", money(), f"{r.choice(low) if low else ''} {money()}", f"{r.randint(2, 40)} дней", f"в {r.randint(8, 21)}:{r.randint(10, 59)}", f"версия {r.randint(1, 30)}.{r.randint(1, 60)}", ""))
         return around(t.add(tail))
 
+    def amount() -> Example:
+        return around(Text().add(words(0, 3)).add(money()).add(r.choice((words(1, 3), f"{words(1, 1)} {r.choice(odd)}", ""))))
+
+    def goods() -> Example:
+        """Capitalised words that are no names, in any surroundings."""
+        w = r.choice(odd) if r.random() < 0.5 else f"{r.choice(odd)} {r.choice(odd)}"
+        t = Text().add(r.choice((words(1, 3), words(1, 3).capitalize(), f"{words(1, 2)} {r.choice(OTHER_KINDS)} {a_number(r)}", words(1, 1))))
+        return around(t.add(r.choice((w, w, f"{w},", f"«{w}»"))).add(r.choice((words(1, 4), f"{r.choice(OTHER_KINDS)} {a_number(r)}", money(), ""))))
+
     def firm() -> Example:
         """Names of firms, towns, books and goods, even when they are given names."""
         w = r.choice(given) if given and r.random() < 0.5 else r.choice(surnames) if surnames and r.random() < 0.4 else r.choice(odd)
@@ -303,5 +315,5 @@ def variants(examples: list[Example], n: int, seed: int = 11) -> list[Example]:
         t.add(w).add(some(1, 4)).add(r.choice(("", "", f"{r.choice(OTHER_KINDS)} {a_number(r)}", money(), f"{r.choice(FIRMS)} {latin(r.choice(odd)).capitalize()}")))
         return around(t)
 
-    rules = (other_date, other_date, value_then_date, birth, birth, listed, listed, bare, bare, named, named, named, cue_and_value, cue_and_value, cue_and_value, other_number, other_number, firm, again, foreign, foreign)
+    rules = (other_date, other_date, value_then_date, birth, birth, listed, listed, bare, bare, named, named, named, cue_and_value, cue_and_value, cue_and_value, other_number, other_number, amount, firm, firm, goods, goods, goods, again, foreign, foreign)
     return [recased(rules[i % len(rules)]()) for i in range(n)]
