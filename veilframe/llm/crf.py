@@ -24,30 +24,31 @@ class CRF:
         return np.array([0 if x == "O" else 1 + names.index(x[2:]) for x in self.labels])
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def marginals(unary: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node marginals (documents x tokens x labels), summed pair marginals and ln Z of padded linear chains."""
+    """Node marginals (documents x tokens x labels), summed pair marginals and ln Z of padded linear chains; probabilities scaled at each token."""
     n, t, k = unary.shape
-    alpha, beta = np.zeros_like(unary), np.zeros_like(unary)
-    alpha[:, 0] = unary[:, 0] + start
-    for i in range(1, t):
-        a = _lse(alpha[:, i - 1, :, None] + trans, 1) + unary[:, i]
-        alpha[:, i] = np.where(mask[:, i, None], a, alpha[:, i - 1])
-    z = _lse(alpha[:, -1], 1)
+    top = unary.max(axis=2)
+    e = np.exp(unary - top[:, :, None])
+    go = np.exp(trans)
+    alpha, beta, scale = np.zeros_like(e), np.ones_like(e), np.ones((n, t))
+    alpha[:, 0] = e[:, 0] * np.exp(start)
+    for i in range(t):
+        if i:
+            alpha[:, i] = (alpha[:, i - 1] @ go) * e[:, i]
+        c = np.maximum(alpha[:, i].sum(axis=1), 1e-300)
+        live = mask[:, i]
+        scale[live, i] = c[live]
+        alpha[:, i] /= c[:, None]
+        if i and not live.all():
+            alpha[~live, i] = alpha[~live, i - 1]
     pairs = np.zeros((k, k))
     for i in range(t - 2, -1, -1):
-        go = unary[:, i + 1] + beta[:, i + 1]
-        b = _lse(trans[None] + go[:, None, :], 2)
+        after = e[:, i + 1] * beta[:, i + 1] / scale[:, i + 1, None]
         live = mask[:, i + 1]
-        if live.any():
-            pairs += np.exp(alpha[live, i, :, None] + trans + go[live, None, :] - z[live, None, None]).sum(axis=0)
-        beta[:, i] = np.where(live[:, None], b, beta[:, i + 1])
-    node = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-    return node, pairs, z
+        pairs += alpha[live, i].T @ after[live]
+        beta[:, i] = np.where(live[:, None], after @ go.T, beta[:, i + 1])
+    node = alpha * beta * mask[:, :, None]
+    return node, pairs * go, (np.log(scale) + np.where(mask, top, 0)).sum(axis=1)
 
 
 def viterbi(unary: np.ndarray, mask: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -114,6 +115,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
     groups = by_size(order.tolist(), [len(docs[i][1]) for i in order])
     rng = np.random.default_rng(7)
     mean, steps = [np.zeros_like(emit), np.zeros_like(trans), np.zeros_like(start)], 0
+    at = 0
     for epoch in range(epochs):
         for g in rng.permutation(len(groups)):
             part = [docs[i] for i in groups[g]]
@@ -143,7 +145,8 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[str], n_features
             ds = np.where(start > -1e3, (gold - node)[:, 0].sum(axis=0), 0)
             gs += ds**2
             start += rate * ds / np.sqrt(gs)
-            if epoch >= epochs // 2:  # the weights are averaged over the later steps, so they depend less on single records
+            at += 1
+            if epoch >= epochs // 2 and at % 8 == 0:  # the weights are averaged over the later steps, so they depend less on single records
                 steps += 1
                 for m, w in zip(mean, (emit, trans, start)):
                     m += (w - m) / steps

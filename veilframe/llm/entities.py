@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import unicodedata
 import zlib
@@ -11,7 +12,7 @@ from dataclasses import dataclass, field
 from itertools import accumulate, chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from veilframe.llm import crf
@@ -113,22 +114,59 @@ def _word_class(w: str, known: frozenset[str], names: frozenset[str]) -> tuple[s
     return "@@" if low in names else low if low in known or low in CUES else "?", shape, suffix + script
 
 
+class Lexicon(dict):
+    """Token -> number of its class; `classes` has the classes by number, `ties` the key of a token by which like words are linked ('' for none)."""
+
+    def __init__(self, known: frozenset[str], names: frozenset[str]):
+        super().__init__()
+        self.known, self.names = known, names
+        self.classes: list[tuple[str, str, str, str, str]] = []
+        self.numbers: dict[tuple, int] = {}
+        self.ties = _Ties(self)
+
+    def number(self, c: tuple) -> int:
+        n = self.numbers.get(c)
+        if n is None:
+            n = self.numbers[c] = len(self.classes)
+            self.classes.append(c)
+        return n
+
+    def __missing__(self, w: str) -> int:
+        if w[0].isalpha():
+            c = (*_word_class(w, self.known, self.names), "", "")
+        elif w[0].isdigit():
+            c = ("#", str(min(len(w), 7)), "", "", "")
+        else:
+            c = (w, "", "", "", "")
+        n = self[w] = self.number(c)
+        return n
+
+
+class _Ties(dict):
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, w: str) -> str:
+        key = ""
+        if len(w) >= 4 and self.lexicon.classes[self.lexicon[w]][0] in ("?", "@@"):
+            key = w.lower()[: max(4, len(w) - 2)] if len(w) > 5 else w.lower()
+        self[w] = key
+        return key
+
+
 @dataclass(frozen=True)
 class Sentence:
-    """Tokens with the white space before each, and for each its class: all that the features look at."""
+    """Tokens with the white space before each, and for each the number of its class, twice, and one more after white space: all that the features look at."""
 
-    gaps: list[str]
-    words: list[str]
-    classes: tuple
+    gaps: tuple[str, ...]
+    words: tuple[str, ...]
+    classes: tuple[int, ...]
 
     @property
     def spans(self) -> list[tuple[int, int]]:
-        out, at = [], 0
-        for g, w in zip(self.gaps, self.words):
-            a = at + len(g)
-            at = a + len(w)
-            out.append((a, at))
-        return out
+        ends = list(accumulate(map(len, chain.from_iterable(zip(self.gaps, self.words)))))
+        return list(zip(ends[::2], ends[1::2]))
 
 
 def _snils_digits(w: str) -> bool:
@@ -136,24 +174,13 @@ def _snils_digits(w: str) -> bool:
     return sum((9 - i) * int(c) for i, c in enumerate(w[:9])) % 101 % 100 == int(w[9:])
 
 
-def analyse(text: str, known: frozenset[str], memo: dict[str, tuple], names: frozenset[str]) -> Sentence:
+def analyse(text: str, lexicon: Lexicon) -> Sentence:
     """Tokens of a text in consistent form. Equal tuples of classes get equal labels (but for skip links)."""
     pairs = _TOKEN.findall(text)
     if not pairs:
-        return Sentence([], [], ())
-    gaps, words = map(list, zip(*pairs))
-    cs = []
-    for w in words:
-        c = memo.get(w)
-        if c is None:
-            if w[0].isalpha():
-                c = (*_word_class(w, known, names), "", "")
-            elif w[0].isdigit():
-                c = ("#", str(min(len(w), 7)), "", "", "")
-            else:
-                c = (w, "", "", "", "")
-            memo[w] = c
-        cs.append(c)
+        return Sentence((), (), ())
+    gaps, words = zip(*pairs)
+    cs = list(map(lexicon.__getitem__, words))
     hits = [(m.start(), m.end(), m.lastgroup) for m in _FORMS.finditer(text)] if _DIGITS.search(text) else []
     if _MAIL_SIGN.search(text):
         mails = [(m.start(), m.end(), "mail") for m in _MAIL.finditer(text)]
@@ -175,10 +202,10 @@ def analyse(text: str, known: frozenset[str], memo: dict[str, tuple], names: fro
                     form += "p" if w[0] in "78" and w[1] == "9" or n == 10 and w[0] == "9" and w[1] not in "68" else ""
             pos = "B" if i < len(starts) and (starts[i] == lo or not i or ends[i - 1] <= lo) else "I"
             while i < len(starts) and starts[i] < hi:
-                cs[i] = (*cs[i][:3], form, pos)
+                cs[i] = lexicon.number((*lexicon.classes[cs[i]][:3], form, pos))
                 pos = "I"
                 i += 1
-    return Sentence(gaps, words, tuple(zip(cs, [bool(g) for g in gaps])))
+    return Sentence(gaps, words, tuple([2 * c + 1 if g else 2 * c for c, g in zip(cs, gaps)]))
 
 
 def _id(x: str, memo: dict[str, int] = {}) -> int:  # noqa: B006 - a table of few fixed strings
@@ -189,43 +216,40 @@ def _id(x: str, memo: dict[str, int] = {}) -> int:  # noqa: B006 - a table of fe
     return memo[x]
 
 
-def _columns(s: Sentence) -> list[tuple[int, ...]]:
+def _columns(s: Sentence, lexicon: Lexicon) -> list[tuple[int, ...]]:
     """Per token the numbers that features are made of: word, shape, suffix, form, place in it, gap, cues before and after, kind."""
-    c = [x for x, _ in s.classes]
+    c = [lexicon.classes[x >> 1] for x in s.classes]
     n = len(c)
-    last = ["" for _ in c]
-    second = ["" for _ in c]
-    after = ["" for _ in c]
-    l1, l2 = (-99, ""), (-99, "")
-    for i in range(n):
-        if i - l1[0] <= 9:
-            last[i] = f"{l1[1]}{(i - l1[0]) // 3}"
-        if i - l2[0] <= 9:
-            second[i] = l2[1]
-        q = CUES.get(c[i][0])
-        if q:
-            l1, l2 = (i, q), l1
-    nxt = (10**6, "")
-    for i in range(n - 1, -1, -1):
-        if nxt[0] - i <= 8:
-            after[i] = f"{nxt[1]}{(nxt[0] - i) // 3}"
-        q = CUES.get(c[i][0])
-        if q in ("street", "house", "birth", "town"):
-            nxt = (i, q)
+    last = [""] * n
+    second = [""] * n
+    after = [""] * n
+    cues = [(i, q) for i, x in enumerate(c) if (q := CUES.get(x[0]))]
+    for k, (i, q) in enumerate(cues):
+        stop = cues[k + 1][0] if k + 1 < len(cues) else n - 1
+        for j in range(i + 1, min(i + 9, stop, n - 1) + 1):
+            last[j] = f"{q}{(j - i) // 3}"
+        if k + 1 < len(cues):
+            until = cues[k + 2][0] if k + 2 < len(cues) else n - 1
+            for j in range(cues[k + 1][0] + 1, min(i + 9, until, n - 1) + 1):
+                second[j] = q
+    near = [(i, q) for i, q in cues if q in ("street", "house", "birth", "town")]
+    for k, (i, q) in enumerate(near):
+        for j in range(max(i - 8, near[k - 1][0] if k else 0, 0), i):
+            after[j] = f"{q}{(i - j) // 3}"
     return [
-        (_id(x[0]), _id(x[1] + "|"), _id(x[2] + "/"), _id(x[3]), _id(x[4] + "."), int(g), _id(a), _id(b + "2"), _id(d + ">"), _id(x[0] if x[0] != "?" else x[1] + x[2]), 0 if x[0].isalpha() or x[0] in ("?", "@@", "#") else _id(x[0]))
-        for (x, g), a, b, d in zip(s.classes, last, second, after)
+        (_id(x[0]), _id(x[1] + "|"), _id(x[2] + "/"), _id(x[3]), _id(x[4] + "."), g & 1, _id(a), _id(b + "2"), _id(d + ">"), _id(x[0] if x[0] != "?" else x[1] + x[2]), 0 if x[0].isalpha() or x[0] in ("?", "@@", "#") else _id(x[0]))
+        for x, g, a, b, d in zip(c, s.classes, last, second, after)
     ]
 
 
-def features(sentences: list[Sentence]) -> list[np.ndarray]:
+def features(sentences: list[Sentence], lexicon: Lexicon) -> list[np.ndarray]:
     """Hashed features of each token of each sentence, from the classes of the tokens around it only."""
     edge = (_id("^"), *[_id("")] * 10)
     rows: list[tuple[int, ...]] = [edge] * 3
     starts = []
     for s in sentences:
         starts.append(len(rows))
-        rows += _columns(s)
+        rows += _columns(s, lexicon)
         rows += [edge] * 3
     m = np.array(rows, dtype=np.uint64)
     w, sh, su, fo, po, gap, la, l2, af, kind, sign = m.T
@@ -252,20 +276,19 @@ def features(sentences: list[Sentence]) -> list[np.ndarray]:
     return [out[a : a + len(s.words)] for a, s in zip(starts, sentences)]
 
 
-def skip_links(s: Sentence) -> list[tuple[int, int]]:
+def skip_links(s: Sentence, lexicon: Lexicon) -> list[tuple[int, int]]:
     """Pairs of distant tokens that are the same word, or a long word and its inflection: capitalised or name-like ones, each linked to the one before."""
+    keys = list(map(lexicon.ties.__getitem__, s.words))
+    named = list(filter(None, keys))
+    if len(set(named)) == len(named):
+        return []
     last: dict[str, int] = {}
     out = []
-    for i, (c, _) in enumerate(s.classes):
-        if c[0] != "?" and c[0] != "@@":
-            continue
-        w = s.words[i]
-        if len(w) < 4:
-            continue
-        key = w.lower()[: max(4, len(w) - 2)] if len(w) > 5 else w.lower()
-        if key in last and i - last[key] > 1:
-            out.append((last[key], i))
-        last[key] = i
+    for i, key in enumerate(keys):
+        if key:
+            if key in last and i - last[key] > 1:
+                out.append((last[key], i))
+            last[key] = i
     return out
 
 
@@ -300,12 +323,12 @@ class Tagger:
     model: crf.CRF
     known: frozenset[str]
     names: frozenset[str]
-    memo: dict[str, tuple] = field(default_factory=dict, repr=False)
-    cache: dict[tuple, tuple] = field(default_factory=dict, repr=False)
+    lexicon: Lexicon | None = field(default=None, repr=False)
+    cache: dict[tuple, np.ndarray] = field(default_factory=dict, repr=False)
     seen: dict[str, list] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"model": self.model, "known": self.known, "names": self.names, "memo": {}, "cache": {}, "seen": {}}
+        return {"model": self.model, "known": self.known, "names": self.names, "lexicon": None, "cache": {}, "seen": {}}
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Entity spans (start, end, type) of each text, as offsets in it. Repeated texts are looked at once while they are remembered."""
@@ -316,10 +339,9 @@ class Tagger:
         return [self.seen[t] if t else [] for t in texts]
 
     def _tag(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        if len(self.cache) > 200_000:
-            self.cache.clear()
+        if self.lexicon is None or len(self.lexicon) > 300_000 or len(self.cache) > 200_000:
+            self.lexicon = Lexicon(self.known, self.names)
+            self.cache.clear()  # its keys are the lexicon's numbers
         jobs: list[tuple[int, list[int] | None, Sentence]] = []
         todo: dict[tuple, tuple[Sentence, list]] = {}
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
@@ -328,11 +350,11 @@ class Tagger:
             if not text:
                 continue
             form, where = aligned_form(text)
-            s = analyse(form, self.known, self.memo, self.names)
+            s = analyse(form, self.lexicon)
             if not s.words:
                 continue
-            links = skip_links(s)
-            key = (s.classes, tuple(links))
+            links = skip_links(s, self.lexicon)
+            key = (s.classes, tuple(links)) if links else s.classes
             jobs.append((d, where, s))
             keys.append(key)
             if key not in self.cache and key not in todo:
@@ -340,7 +362,7 @@ class Tagger:
         pending = sorted(todo.items(), key=lambda x: len(x[1][0].words))
         fresh: dict[tuple, np.ndarray] = {}
         for part in crf.by_size(pending, [len(x[1][0].words) for x in pending]):
-            for (key, _), y in zip(part, crf.decode(self.model, features([s for _, (s, _) in part]), [k for _, (_, k) in part])):
+            for (key, _), y in zip(part, crf.decode(self.model, features([s for _, (s, _) in part], self.lexicon), [k for _, (_, k) in part])):
                 fresh[key] = y
         for (d, where, s), key in zip(jobs, keys):
             y = fresh.get(key)
@@ -357,6 +379,14 @@ class Tagger:
 
 def fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
     """A tagger from texts with spans (start, end, type), and VARIANTS rule-made variants for each."""
+    gc.disable()
+    try:
+        return _fit(examples)
+    finally:
+        gc.enable()
+
+
+def _fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
     forms = []
     for text, spans in [*examples, *variants(examples, VARIANTS * len(examples))]:
         form, where = aligned_form(text)
@@ -378,11 +408,11 @@ def fit(examples: list[tuple[str, list[tuple[int, int, str]]]]) -> Tagger:
             inside[w] = inside.get(w, 0) + person
     known = frozenset(w for w, n in count.items() if n >= 4 and inside[w] <= n / 2)
     names = frozenset(w for w, n in count.items() if n >= 3 and len(w) > 2 and inside[w] > n / 2)
-    memo: dict[str, tuple] = {}
-    sentences = [analyse(form, known, memo, names) for form, _ in forms]
+    lexicon = Lexicon(known, names)
+    sentences = [analyse(form, lexicon) for form, _ in forms]
     pairs = [(s, spans) for s, (_, spans) in zip(sentences, forms) if s.words]
-    docs = list(zip(features([s for s, _ in pairs]), [labels_of(s, spans) for s, spans in pairs])) if pairs else []
-    skips = [skip_links(s) for s, _ in pairs]
+    docs = list(zip(features([s for s, _ in pairs], lexicon), [labels_of(s, spans) for s, spans in pairs])) if pairs else []
+    skips = [skip_links(s, lexicon) for s, _ in pairs]
     if not docs:
         k = len(LABELS)
         return Tagger(crf.CRF(LABELS, np.zeros((_N_FEATURES, k)), np.zeros((k, k)), np.where(np.arange(k) == 0, 1.0, 0.0), 0.0), known, names)
@@ -443,16 +473,25 @@ def find_personal_data(df: DataFrame, id_col: str, columns: list[str], tagger: T
     long = df.select(F.col(id_col).cast("long").alias("row_id"), F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))])).alias("field", "text"))
     long = long.filter("text is not null and text <> ''")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = shared.value
-        for pdf in batches:
-            texts, ids, fields = pdf["text"].tolist(), pdf["row_id"].tolist(), pdf["field"].tolist()
-            rows = []
-            for i in range(0, len(texts), 2000):
-                part = texts[i : i + 2000]
-                for k, spans in enumerate(tagger.tag(part)):
-                    if spans:
-                        rows.append((ids[i + k], fields[i + k], mask(part[k], spans), [{"start_pos": a, "end_pos": b, "entity_type": t} for a, b, t in spans]))
-            yield pd.DataFrame(rows, columns=["row_id", "field", "masked", "spans"])
-
-    return long.mapInPandas(run, schema)
+        gc.disable()  # nothing here is cyclic, and the remembered tokens are many objects to look through
+        try:
+            for b in batches:
+                for i in range(0, len(b), 2000):
+                    part = b.slice(i, 2000)
+                    texts = part.column("text").to_pylist()
+                    found = tagger.tag(texts)
+                    at = [k for k, spans in enumerate(found) if spans]
+                    flat = [x for k in at for x in found[k]]
+                    lo, hi, kinds = zip(*flat) if flat else ((), (), ())
+                    parts = [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(kinds, pa.string())]
+                    structs = pa.StructArray.from_arrays(parts, ["start_pos", "end_pos", "entity_type"])
+                    ends = pa.array([0, *accumulate(len(found[k]) for k in at)], pa.int32())
+                    picked = part.take(pa.array(at, pa.int64()))
+                    masked = pa.array([mask(texts[k], found[k]) for k in at], pa.string())
+                    yield pa.RecordBatch.from_arrays([picked.column("row_id"), picked.column("field"), masked, pa.ListArray.from_arrays(ends, structs)], ["row_id", "field", "masked", "spans"])
+        finally:
+            gc.enable()
+
+    return long.mapInArrow(run, schema)
