@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from veilframe.llm.mixing import mix_plan, mix_report, mix_sources, permuted, splitting_tree
+from veilframe.llm import mixing
+from veilframe.llm.mixing import _draw, mix_plan, mix_report, mix_sources, permuted, splitting_tree
 from veilframe.llm.packing import Complements, pack_documents, packing_report, plan
 
 
@@ -70,3 +71,23 @@ def test_exact_triple_is_found_behind_used_up_ones():
     ex = Complements(counts)
     ex.use(1000, 1)  # the ten larger first lengths need it
     assert ex.fill(4000, {}) == (2400, 800, 800)
+
+
+def test_draws_of_any_size_are_exact():
+    rng = np.random.default_rng(3)
+    for have in ([5, 0, 7], [10**9, 3, 10**9 + 1], [10**12, 5 * 10**10, 0, 17], [1]):
+        have = np.array(have, dtype=np.int64)
+        for take in (0, 1, int(have.sum()) // 2, int(have.sum())):
+            d = _draw(rng, have, take)
+            assert d.sum() == take and (d >= 0).all() and (d <= have).all()
+    t = splitting_tree(np.array([10**12, 4 * 10**10, 7]), 64)
+    assert (t.sum(axis=0) == [10**12, 4 * 10**10, 7]).all()
+    assert abs(t[:, 0] / (10**12 / 64) - 1).max() < 1e-3
+
+
+def test_more_shards_than_the_plan_has_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PLAN_NUMBERS", 4)
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(1200)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    per = [r["t"] for r in mix_sources(docs, targets, block_docs=2, shard_tokens=600).groupBy("shard").agg(F.sum("n_tokens").alias("t")).collect()]
+    assert sum(per) == 12000 and len(per) == 20 and max(per) <= 900

@@ -152,3 +152,8 @@ def test_masks_leave_the_rest_unchanged(tagger):
     assert tagger.tag(["", None, " ", "x" * 20000, "слово " * 5000])[:3] == [[], [], []]
     form, where = aligned_form("й й a​b")
     assert form == "й й ab" and len(where) == len(form)
+
+
+def test_texts_of_look_alike_letters_only_have_one_form():
+    assert consistent_form("OK") == consistent_form("ОК") == consistent_form(consistent_form("OK"))
+    assert consistent_form("OK, see you") == "OK, see you" and consistent_form("12 + 3") == "12 + 3"

@@ -130,6 +130,11 @@ _CHANGED = re.compile("[" + "".join(re.escape(chr(n)) for n in sorted(_BASE) if
 _OPEN = re.compile(r"[^\x00-@\[-`{-~\xab\xbb\u0400-\u045f\u2013\u2014\u2116\u2026\u20bd]|[\u0400-\u045f][0-9]|[0-9][\u0400-\u045f]")
 
 
+#: A letter that only one script can spell; a text of one script with such a letter stays as it is.
+_SETTLED = re.compile("[" + "".join(c for c in map(chr, (*range(65, 91), *range(97, 123), *range(0x400, 0x460))) if c.isalpha() and len(_FORMS.get(c, {})) < 2) + "]")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
 def consistent_form(text: str | None) -> str | None:
     """The form in which texts of the same look are equal.
 
@@ -141,7 +146,7 @@ def consistent_form(text: str | None) -> str | None:
     codes do, else the script of most settled tokens of the text, Cyrillic on a tie; this depends
     on the look alone, so equal looks give equal forms. Idempotent.
     """
-    if text is None or text.isascii() or not _OPEN.search(text):
+    if text is None or ((text.isascii() or not _OPEN.search(text)) and (_SETTLED.search(text) or not _LETTER.search(text))):
         return text
     t = text
     if _CHANGED.search(t):
@@ -210,7 +215,12 @@ def lookalike_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
     rows = written(rows, "forms")
     keys = rows.groupBy("form_h").agg(F.min("raw_h").alias("lo"), F.max("raw_h").alias("hi"), F.min("raw_g").alias("lo2"), F.max("raw_g").alias("hi2"))
     keys = keys.filter("lo <> hi or lo2 <> hi2").select("form_h")
-    near = rows.join(keys, "form_h", "left_semi").distinct()
-    a = near.select("form_h", F.col("id").alias("id_a"), F.col("raw_h").alias("ra"), F.col("raw_g").alias("ga"))
-    b = near.select("form_h", F.col("id").alias("id_b"), F.col("raw_h").alias("rb"), F.col("raw_g").alias("gb"))
-    return a.join(b, "form_h").filter("id_a < id_b and (ra <> rb or ga <> gb)").select("id_a", "id_b").distinct()
+    near = written(rows.join(keys, "form_h", "left_semi").distinct(), "near")
+    # Distinct spellings are paired, and only then the rows of each.
+    spelling = near.select("form_h", "raw_h", "raw_g").distinct()
+    a = spelling.select("form_h", F.col("raw_h").alias("ra"), F.col("raw_g").alias("ga"))
+    b = spelling.select("form_h", F.col("raw_h").alias("rb"), F.col("raw_g").alias("gb"))
+    pairs = a.join(b, "form_h").filter("ra < rb or (ra = rb and ga < gb)")
+    out = pairs.join(near.select("form_h", F.col("raw_h").alias("ra"), F.col("raw_g").alias("ga"), F.col("id").alias("x")), ["form_h", "ra", "ga"])
+    out = out.join(near.select("form_h", F.col("raw_h").alias("rb"), F.col("raw_g").alias("gb"), F.col("id").alias("y")), ["form_h", "rb", "gb"])
+    return out.filter("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()

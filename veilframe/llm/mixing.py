@@ -14,8 +14,34 @@ from veilframe.session import written
 
 #: Documents of a block, which goes to one shard as a whole, and tokens of a shard, about.
 BLOCK_DOCS, SHARD_TOKENS = 16, 2_000_000
-#: Shards at most; beyond, shards grow.
-MAX_SHARDS = 50_000
+#: Numbers in the plan at most (shards times sources): 64 MB on the driver and in each worker. With more, each row of the plan is a group of shards.
+PLAN_NUMBERS = 8_000_000
+#: Target sources at most; more are an error.
+MAX_SOURCES = 10_000
+
+
+def _draw(rng: np.random.Generator, have: np.ndarray, take: int) -> np.ndarray:
+    """How many of each colour are among `take` drawn without replacement: one hypergeometric draw for each colour from what is left.
+
+    numpy draws hypergeometrically below 10^9 items; above, the count of a colour is drawn from the normal distribution of the same mean and
+    variance and rounded within its bounds. The sums stay exact.
+    """
+    out = np.zeros_like(have)
+    rest, left = int(have.sum()), int(take)
+    for k, n in enumerate(have.tolist()):
+        other = rest - n
+        if left <= 0:
+            break
+        if rest < 10**9:
+            x = int(rng.hypergeometric(n, other, left)) if n and other else min(n, left)
+        else:
+            p = n / rest
+            sd = np.sqrt(max(left * p * (1 - p) * ((rest - left) / max(rest - 1, 1)), 0.0))
+            x = round(rng.normal(left * p, sd))
+        x = min(max(x, left - other, 0), n, left)
+        out[k] = x
+        rest, left = other, left - x
+    return out
 
 
 def splitting_tree(blocks: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
@@ -33,9 +59,7 @@ def splitting_tree(blocks: np.ndarray, shards: int, seed: int = 0) -> np.ndarray
             out[first] = have
             continue
         left = s // 2
-        total = int(have.sum())
-        take = total * left // s
-        draw = rng.multivariate_hypergeometric(have, take, method="marginals") if total else have.copy()
+        draw = _draw(rng, have, int(have.sum()) * left // s)
         stack += [(first, left, draw), (first + left, s - left, have - draw)]
     return out
 
@@ -63,15 +87,19 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None,
     """
     spark = sized.sparkSession
     want: dict[str, tuple[float, int]] = {}
+    if targets.select("source").distinct().limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} target sources")
     for r in targets.filter("source is not null").select("source", F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("s"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)).alias("m")).orderBy("source", F.desc("s"), F.desc("m")).collect():
         want.setdefault(r["source"], (r["s"], r["m"]))
-    docs = sized.filter("n_tokens > 0").filter(F.col("source").isin(list(want))).withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    sized = written(sized.select("doc_id", "source", "n_tokens").filter("n_tokens > 0"), "sizes")  # once: the ranges of spread_rank come from a pass of their own
+    wanted = spark.createDataFrame([(s,) for s in want] or [("",)], "source string")
+    docs = sized.join(wanted, "source", "left_semi").withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id")))
     ranked = written(spread_rank(docs, ["source"], ["h", "doc_id"], "rank", size="n_tokens", size_out="before"), "order")
     facts = {r["source"]: (r["t"], r["n"]) for r in ranked.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
     quota = mix_plan({s: t for s, (t, _) in facts.items()}, want, total)
     rows = [(s, int(quota.get(s, 0) // facts[s][0]), int(quota.get(s, 0) % facts[s][0]), int(want[s][1]), facts[s][1]) for s in facts]
     rounds = spark.createDataFrame(rows or [("", 0, 0, 0, 0)], "source string, whole int, part long, most int, n long")
-    used = ranked.join(F.broadcast(rounds), "source")  # one row per target
+    used = ranked.join(F.broadcast(rounds), "source")  # one row per target, at most MAX_SOURCES
     nearest = (F.col("before") + F.col("n_tokens") / 2 <= F.col("part")) & (F.col("whole") < F.col("most"))
     used = used.withColumn("copies", F.col("whole") + nearest.cast("int")).filter("copies > 0")
     used = used.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("seq", (F.col("copy_no") - 1) * F.col("n") + F.col("rank") - 1)
@@ -79,10 +107,12 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None,
     size = {r["source"]: (r["b"], r["t"]) for r in used.groupBy("source").agg((F.max("block") + 1).alias("b"), F.sum("n_tokens").alias("t")).collect()}
     names = sorted(size)
     tokens = sum(t for _, t in size.values())
-    shards = max(1, min(MAX_SHARDS, math.ceil(tokens / shard_tokens)))
-    tree = splitting_tree(np.array([size[s][0] for s in names], dtype=np.int64), shards, seed) if names else np.zeros((1, 0), dtype=np.int64)
+    shards = max(1, math.ceil(tokens / shard_tokens))
+    groups = max(1, min(shards, PLAN_NUMBERS // max(1, len(names))))
+    per = -(-shards // groups)  # shards of a group: a block goes to one of them by its number in the group
+    tree = splitting_tree(np.array([size[s][0] for s in names], dtype=np.int64), groups, seed) if names else np.zeros((1, 0), dtype=np.int64)
     ends = {s: np.cumsum(tree[:, k]) for k, s in enumerate(names)}
-    shared = spark.sparkContext.broadcast((ends, {s: size[s][0] for s in names}, seed))  # shards x sources numbers, at most MAX_SHARDS rows
+    shared = spark.sparkContext.broadcast((ends, {s: size[s][0] for s in names}, seed))  # at most PLAN_NUMBERS numbers
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ends, n_blocks, seed = shared.value
@@ -90,7 +120,9 @@ def mix_sources(sized: DataFrame, targets: DataFrame, total: int | None = None,
             shard = np.zeros(len(pdf), dtype=np.int64)
             for s, rows in pdf.groupby("source", sort=False).indices.items():
                 p = permuted(pdf["block"].to_numpy()[rows], n_blocks[s], seed)
-                shard[rows] = np.searchsorted(ends[s], p, side="right")
+                group = np.searchsorted(ends[s], p, side="right")
+                inside = p - np.where(group > 0, ends[s][group - 1], 0)
+                shard[rows] = group * per + (inside + group) % per
             yield pdf.assign(shard=shard)[["shard", "doc_id", "copy_no", "source", "n_tokens"]]
 
     placed = used.mapInPandas(assign, "shard long, doc_id long, copy_no int, source string, n_tokens long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,10 @@ from veilframe.operators.ranking import spread_rank
 from veilframe.session import written
 
 
+#: Kinds of containers at most; more are an error, since each document goes into every kind.
+MAX_KINDS = 1000
+
+
 class Complements:
     """Which gaps one, two or three lengths fill exactly, under the counts of what is still there.
 
@@ -139,16 +144,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int,
 def _best_fit(loose: list[list], capacity: int) -> list[list[tuple[int, int]]]:
     """Take the containers that were closed with much room apart again and place their items by best fit, largest first."""
     items = sorted((x for _, p in loose for x, k in p for _ in range(k)), reverse=True)
-    bins: list[tuple[int, dict[int, int]]] = []
+    room: list[tuple[int, int]] = []  # gap and number of each container, in order
+    bins: list[dict[int, int]] = []
     for x in items:
-        fit = min((b for b in range(len(bins)) if bins[b][0] >= x), key=lambda b: bins[b][0], default=None)
-        if fit is None:
-            bins.append((capacity - x, {x: 1}))
+        i = bisect_left(room, (x, -1))
+        if i == len(room):
+            gap, no = capacity, len(bins)
+            bins.append({})
         else:
-            gap, d = bins[fit]
-            d[x] = d.get(x, 0) + 1
-            bins[fit] = (gap - x, d)
-    return [sorted(d.items(), reverse=True) for _, d in bins]
+            gap, no = room.pop(i)
+        bins[no][x] = bins[no].get(x, 0) + 1
+        insort(room, (gap - x, no))
+    return [sorted(d.items(), reverse=True) for d in bins]
 
 
 def sized_documents(documents: DataFrame, size: Column | None = None) -> DataFrame:
@@ -163,24 +170,28 @@ def pack_documents(sized: DataFrame, containers: DataFrame) -> DataFrame:
     Only a document over the capacity is split, in pieces of the capacity and a rest. Numbers of containers run from 1 in each name; each
     container holds at most its capacity. The plan is made on the histogram of lengths, which has at most as many entries as the capacity; items
     then take their places by their rank among the items of their length (spread_rank, so a length that a third of all items have is no hot task).
-    Containers of a capacity under 1 or null, or of no name, are ignored; so are documents without tokens.
+    Containers of a capacity under 1 or null, or of no name, are ignored; so are documents without tokens. More than MAX_KINDS kinds of containers are an error.
     """
     spark = sized.sparkSession
     kinds = containers.select("container_name", F.col("capacity_tokens").cast("long").alias("cap")).filter("container_name is not null and cap >= 1").distinct()
-    limits = {r["container_name"]: r["cap"] for r in kinds.collect()}
+    rows = kinds.limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    limits = {r["container_name"]: r["cap"] for r in rows}
+    kinds_of = F.array(*[F.struct(F.lit(r["container_name"]).alias("container_name"), F.lit(r["cap"]).alias("cap")) for r in rows]) if rows else F.array().cast("array<struct<container_name:string,cap:bigint>>")
+    sized = written(sized, "sizes")  # once: the sizes are read for the counts and for the ranks
     full = F.floor(F.col("n_tokens") / F.col("cap"))
     rest = F.col("n_tokens") - full * F.col("cap")
     pieces = (
-        sized.crossJoin(F.broadcast(kinds))  # the few kinds of containers, for each document
+        sized.select("doc_id", "n_tokens", F.inline(kinds_of))  # the few kinds of containers, for each document
         .withColumn("n_pieces", (full + F.when(rest > 0, 1).otherwise(0)).cast("int"))
         .withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("n_pieces"))))
         .withColumn("size", F.when(F.col("piece_no") <= full, F.col("cap")).otherwise(rest).cast("int"))
         .select("container_name", "size", "doc_id", "piece_no", "n_pieces")
     )
     items = spread_rank(pieces, ["container_name", "size"], ["doc_id", "piece_no"], "rank")
-    items = written(items, "items")
     hist: dict[str, dict[int, int]] = {}
-    for r in items.groupBy("container_name", "size").count().collect():  # at most `capacity` rows of each name
+    for r in pieces.groupBy("container_name", "size").count().collect():  # at most `capacity` rows of each name
         hist.setdefault(r["container_name"], {})[r["size"]] = r["count"]
     table: dict[tuple[str, int], tuple[list[int], list[int], list[int]]] = {}
     for name, h in hist.items():
@@ -215,6 +226,6 @@ def packing_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container name: containers used, the least possible number, items, tokens, share of room filled, containers filled exactly."""
     kinds = containers.select("container_name", F.col("capacity_tokens").cast("long").alias("cap")).distinct()
     one = packed.groupBy("container_name", "container_no").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
-    return one.join(F.broadcast(kinds), "container_name").groupBy("container_name", "cap").agg(
+    return one.join(kinds, "container_name").groupBy("container_name", "cap").agg(
         F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_items"), F.sum("t").alias("n_tokens"), F.count_if(F.col("t") == F.col("cap")).alias("n_exact"), F.count_if(F.col("t") > F.col("cap")).alias("n_over"),
     ).withColumn("least_containers", F.ceil(F.col("n_tokens") / F.col("cap"))).withColumn("filled", F.col("n_tokens") / (F.col("n_containers") * F.col("cap"))).withColumnRenamed("cap", "capacity_tokens")
