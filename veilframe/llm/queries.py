@@ -11,7 +11,7 @@ from veilframe.llm.entities import find_personal_data, fit, labelled_examples
 from veilframe.llm.languages import document_languages, found_languages
 from veilframe.llm.lookalikes import lookalike_pairs
 from veilframe.llm.mixing import mix_report, mix_sources
-from veilframe.llm.overlap import cross_split_overlaps, overlap_report
+from veilframe.llm.overlap import cross_split_overlaps, overlap_counts, overlap_report
 from veilframe.llm.packing import pack_documents, packing_report, sized_documents
 from veilframe.llm.restatements import restatement_groups, restatement_pairs
 from veilframe.llm.tokens import token_count
@@ -20,18 +20,18 @@ from veilframe.session import table, written
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "dev_negatives").select("rec_id", "text").unionByName(table(spark, sf_dir, "test_negatives").select("rec_id", "text"))
-    return cross_split_overlaps(table(spark, sf_dir, "train_negatives"), ev)
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "dev_negatives").select("rec_id", "text").unionByName(table(spark, sf_dir, "test_negatives").select("rec_id", "text"))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(spark, sf_dir).select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+    found = cross_split_overlaps(table(spark, sf_dir, "train_negatives"), _evaluation(spark, sf_dir))
+    return found.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     splits = {s: table(spark, sf_dir, f"{s}_negatives") for s in ("dev", "test")}
-    return overlap_report(written(_overlaps(spark, sf_dir)), splits, table(spark, sf_dir, "train_negatives"))
+    return overlap_report(overlap_counts(table(spark, sf_dir, "train_negatives"), _evaluation(spark, sf_dir)), splits)
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
