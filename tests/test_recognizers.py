@@ -41,6 +41,8 @@ CASES = [
     ("rx_ip", "10.0.0.1", ["10.0.0.1"]),
     ("rx_url", "https://a.example/x y", ["https://a.example/x"]),
     ("rx_iban", "DE89370400440532013000", ["DE89370400440532013000"]),
+    ("rx_crypto", "кошелёк 1BoatSLRHtKNngkdXEeobR76b53LETtpyT", ["1BoatSLRHtKNngkdXEeobR76b53LETtpyT"]),
+    ("rx_date_time", "встреча 12.08.2024 10:30 и 2024-08-13", ["12.08.2024 10:30", "2024-08-13"]),
     ("rx_person_fio", "Иванов Иван Иванович пришёл", ["Иванов Иван Иванович", "Иван Иванович"]),
     ("rx_person_initials", "подписал И. И. Иванов", ["И. И. Иванов"]),
 ]

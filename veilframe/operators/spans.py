@@ -24,26 +24,57 @@ def empty_spans() -> Column:
     return F.array().cast(SPANS)
 
 
-def find_spans(text: Column, pattern: str, entity: str, score: float, group: int = 0) -> Column:
-    """All matches of a Java pattern as spans; with a group, the span is that of the group within the match.
-
-    The offsets follow from the lengths of the matches and of the pieces between them; all of it is native.
-    """
-    whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    inner = F.regexp_extract_all(text, F.lit(f"({pattern})"), group + 1) if group else None
-    start = F.struct(F.lit(0).alias("at"), empty_spans().alias("out"))
+#: Two characters that Unicode keeps out of texts; they mark the matches. Where a text has them, they count as U+FFFD.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def _parts(pattern: str) -> tuple[str, str, str]:
+    """What stands before, in and after the first capturing group of a pattern."""
+    depth, start, i, in_class = 0, -1, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif c == "[" and not in_class:
+            in_class = True
+        elif c == "]" and in_class:
+            in_class = False
+        elif c == "(" and not in_class:
+            if start < 0 and pattern[i + 1 : i + 2] != "?":
+                start, depth = i, 0
+            elif start >= 0:
+                depth += 1
+        elif c == ")" and not in_class and start >= 0:
+            if depth == 0:
+                return pattern[:start], pattern[start + 1 : i], pattern[i + 1 :]
+            depth -= 1
+        i += 1
+    raise ValueError("no group in the pattern")
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.length(x["g"])
-        first = begin + F.greatest(F.instr(x["m"], x["k"]) - 1, F.lit(0)) if group else begin
-        end = first + F.length(x["k"])
-        return F.struct((begin + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct(F.lit(entity).alias("entity_type"), first.cast("int").alias("start_pos"), end.cast("int").alias("end_pos"), F.lit(float(score)).alias("score")))).alias("out"))
 
-    def spans(m: Column) -> Column:
-        parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)).alias("g"), m.alias("m"), (m if inner is None else inner).alias("k"))
-        return F.when(F.size(m) > 0, F.aggregate(parts, start, step, lambda a: a["out"])).otherwise(empty_spans())
+def find_spans(text: Column, pattern: str, entity: str, score: float, group: int = 0) -> Column:
+    """All matches of a Java pattern as spans; with group=1 the span is that of the pattern's only capturing group.
 
-    return let(whole, spans)
+    The matches are marked in one pass of the pattern, and the offsets follow from the lengths between the marks; all of it is
+    native. Null and empty texts have no spans.
+    """
+    before, inner, after = _parts(pattern) if group else ("", pattern, "")
+    flags = ""
+    if group and before.startswith("(?iu)"):
+        flags, before = "(?iu)", before[5:]
+    marked = F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd"), F.lit(f"{flags}({before})({inner})({after})"), F.lit(f"$1{_OPEN}$2{_CLOSE}$3"))
+
+    def step(a: Column, part: Column) -> Column:
+        end = (a["at"] + F.instr(part, _CLOSE) - 1).cast("int")
+        found = F.struct(F.lit(entity).alias("entity_type"), a["at"].alias("start_pos"), end.alias("end_pos"), F.lit(float(score)).alias("score"))
+        return F.struct((a["at"] + F.length(part) - 1).cast("int").alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+
+    def spans(parts: Column) -> Column:
+        first = F.struct(F.length(F.element_at(parts, 1)).cast("int").alias("at"), empty_spans().alias("out"))
+        found = F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), first, step, lambda a: a["out"])
+        return F.when(F.size(parts) > 1, F.filter(found, lambda s: s["start_pos"] < s["end_pos"])).otherwise(empty_spans())
+
+    return let(F.split(marked, _OPEN, -1), spans)
 
 
 def value_of(text: Column, span: Column) -> Column:
