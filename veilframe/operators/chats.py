@@ -13,15 +13,25 @@ def one_row_each(df: DataFrame, key: str = "id", latest: str = "updated_at") ->
 
 
 def conversation_messages(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """Conversations with their messages (id, created_at, content) in order of created_at, null first, then id; none for those without."""
+    """Conversations with their messages (id, created_at, content) in order of created_at, null first, then id; none for those without.
+
+    One row holds a conversation, as a request for it asks; for counts take message_counts, for texts long_texts, which gather nothing.
+    """
     m = one_row_each(messages).groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct(F.col("created_at").isNotNull().alias("timed"), "created_at", "id", "content"))).alias("messages"))
     return one_row_each(conversations).join(m.withColumnRenamed("conversation_id", "__c"), F.col("id") == F.col("__c"), "left").drop("__c")
 
 
+def message_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """(id, n_messages) of every conversation, 0 without messages; contents are neither read nor gathered."""
+    n = one_row_each(messages).groupBy("conversation_id").agg(F.count(F.lit(1)).cast("int").alias("n_messages")).withColumnRenamed("conversation_id", "id")
+    return one_row_each(conversations).select("id").join(n, "id", "left").fillna(0, ["n_messages"])
+
+
 def conversation_contacts(conversations: DataFrame, contacts: DataFrame) -> DataFrame:
-    """(id, contact_id, name, email, phone) of conversations; null contact fields where there is no such contact."""
+    """(id, contact_id, name, email, phone, known) of conversations; known: whether there is such a contact, whose fields may be null."""
     c = one_row_each(contacts).select(F.col("id").alias("__c"), "name", "email", "phone")
-    return one_row_each(conversations).select("id", "contact_id").join(c, F.col("contact_id") == F.col("__c"), "left").drop("__c")
+    j = one_row_each(conversations).select("id", "contact_id").join(c, F.col("contact_id") == F.col("__c"), "left")
+    return j.withColumn("known", F.col("__c").isNotNull()).drop("__c")
 
 
 def batch(conversations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

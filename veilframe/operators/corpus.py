@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veilframe.functions.text import array_jaccard, collapsed, shingles, word_set
+from veilframe.session import written
 
 
 def not_held_out(df: DataFrame, held_out: DataFrame, text: str = "text") -> DataFrame:
@@ -43,19 +44,27 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", threshold: floa
     """(id_a, id_b, similarity): pairs of distinct texts whose n-word shingles have a Jaccard of `threshold` or more, and exact copies by representative.
 
     An exact prefix filter: texts in order of a shingle's frequency, rare first, share one of the first
-    size - ceil(threshold * size) + 1 shingles if they are similar; so frequent shingles pair nothing. Texts with equal shingle sets are one
-    class, named by its least key; pairs are between classes. Members of a class are in duplicate_classes.
+    size - ceil(threshold * size) + 1 shingles if they are similar; so frequent shingles pair nothing. A shared shingle counts only if enough
+    shingles are left behind it in both texts. Texts with equal shingle sets are one
+    class, named by its least key; pairs are between classes. Members of a class are in duplicate_classes. Shingles are
+    compared by 64-bit hashes; the classes are written once.
     """
-    c = duplicate_classes(df, key, text, n).filter(F.col(key) == F.col("class_id")).select(F.col(key).alias("id"), "sh")
-    long = c.select("id", F.size("sh").alias("size"), F.explode("sh").alias("g")).withColumn("g", F.xxhash64("g"))
-    freq = long.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    w = Window.partitionBy("id").orderBy("f", "g")
-    prefix = long.join(freq, "g").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1).filter("f > 1")
-    a = prefix.select("g", F.col("id").alias("id_a"), F.col("size").alias("na"))
-    b = prefix.select("g", F.col("id").alias("id_b"), F.col("size").alias("nb"))
-    cand = a.join(b, "g").filter((F.col("id_a") < F.col("id_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("id_a", "id_b").distinct()
-    s = c.select("id", "sh")
-    both = cand.join(s.select(F.col("id").alias("id_a"), F.col("sh").alias("sa")), "id_a").join(s.select(F.col("id").alias("id_b"), F.col("sh").alias("sb")), "id_b")
+    s = df.select(F.col(key).alias("id"), shingles(F.col(text), n).alias("sh")).filter(F.size("sh") > 0)
+    s = s.select("id", F.array_sort(F.transform("sh", lambda g: F.xxhash64(g))).alias("sh")).withColumn("h", F.md5(F.array_join(F.col("sh").cast("array<string>"), ",")))
+    c = written(s.groupBy("h").agg(F.min("id").alias("id"), F.any_value("sh").alias("sh")).select("id", "sh"), "classes")
+    freq = c.select(F.explode("sh").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    # Shingles that only one text has come first and pair nothing; of the others as many as the prefix still has room for.
+    long = c.select("id", F.size("sh").alias("size"), F.explode("sh").alias("g")).join(freq, "g")
+    many = long.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("rare"))
+    alone = F.col("size") - F.size("rare")
+    room = (F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1 - alone).cast("int")
+    prefix = many.filter(room > 0).select("id", "size", alone.alias("alone"), F.posexplode(F.slice("rare", F.lit(1), room)).alias("i", "x")).select("id", "size", F.col("x.g").alias("g"), (F.col("size") - F.col("alone") - F.col("i")).alias("rest"))
+    prefix = written(prefix, "prefixes")
+    a = prefix.select("g", F.col("id").alias("id_a"), F.col("size").alias("na"), F.col("rest").alias("ra"))
+    b = prefix.select("g", F.col("id").alias("id_b"), F.col("size").alias("nb"), F.col("rest").alias("rb"))
+    enough = F.least("ra", "rb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    cand = a.join(b, "g").filter((F.col("id_a") < F.col("id_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & enough).select("id_a", "id_b").distinct()
+    both = cand.join(c.select(F.col("id").alias("id_a"), F.col("sh").alias("sa")), "id_a").join(c.select(F.col("id").alias("id_b"), F.col("sh").alias("sb")), "id_b")
     return both.withColumn("similarity", array_jaccard(F.col("sa"), F.col("sb"))).filter(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")
 
 
@@ -66,17 +75,19 @@ def duplicate_classes(df: DataFrame, key: str, text: str = "text", n: int = 3) -
 
 
 def accepted_in_order(pairs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Texts kept when they are taken in order of key and dropped if similar to one kept before: rounds over the pairs until settled.
+    """(key, kept): texts kept when they are taken in order of key and dropped if similar to one kept before.
 
-    In each round a text whose earlier similar texts are all dropped is kept, and one similar to a kept text is dropped.
+    In each round the texts without an open earlier similar text are kept, and those similar to them dropped; only the pairs between texts
+    still open are written on. There are as many rounds as the longest chain of decisions has steps.
     """
-    from veilframe.session import written
-
-    state = written(texts.select(F.col(key).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")), "accepted")
     edges = pairs.select(F.least("id_a", "id_b").alias("before"), F.greatest("id_a", "id_b").alias("id"))
-    while True:
-        e = edges.join(state.select(F.col("id").alias("before"), F.col("kept").alias("bk")), "before").groupBy("id").agg(F.bool_or(F.coalesce("bk", F.lit(False))).alias("hit"), F.bool_or(F.col("bk").isNull()).alias("open"))
-        new = state.join(e, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True).alias("kept"))
-        state = written(new, "accepted")
-        if state.filter("kept is null").isEmpty():
-            return state.withColumnRenamed("id", key)
+    edges = written(edges.filter("before <> id").distinct(), "open")
+    dropped = edges.select("id").limit(0)
+    while not edges.isEmpty():
+        first = edges.select("before").distinct().join(edges.select(F.col("id").alias("before")).distinct(), "before", "left_anti")
+        out = written(edges.join(first, "before", "left_semi").select("id").distinct(), "dropped")
+        dropped = dropped.unionByName(out)
+        edges = edges.join(out, "id", "left_anti").join(out.select(F.col("id").alias("before")), "before", "left_anti")
+        edges = written(edges.select("before", "id"), "open")
+    gone = dropped.withColumn("gone", F.lit(True))
+    return texts.select(F.col(key).alias("id")).distinct().join(gone, "id", "left").select(F.col("id").alias(key), F.col("gone").isNull().alias("kept"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilframe.operators.spans import fully_covered, touched
@@ -92,29 +90,37 @@ def joined_predictions(gold: DataFrame, predictions: DataFrame, key: str = "id")
     return gold.join(last, key, "left")
 
 
-def bootstrap(clusters: DataFrame, key: str, n_iter: int = 1000, seed: int = 0, other: DataFrame | None = None) -> DataFrame:
-    """Intervals (2.5 and 97.5 percentiles) of strict F1 and share fully masked over clusters drawn with replacement; with `other`, of the
-    differences on the same draws, with a two-sided p. The matrix of clusters (templates, a small set) is one task's; it must fit in it."""
-    both = clusters if other is None else clusters.join(other.select(key, *[F.col(c).alias(f"o_{c}") for c in COUNTS]), key, "full")
-
-    paired = other is not None
+#: The chances of at most 0, 1, 2 ... in a Poisson distribution of mean 1; beyond the last the count is 8.
+_POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).fillna(0)
-        rng = np.random.default_rng(seed)
-        draws = rng.integers(0, len(pdf), (n_iter, len(pdf)))
 
-        def metrics(prefix: str) -> dict[str, np.ndarray]:
-            s = {c: pdf[prefix + c].to_numpy(float)[draws].sum(axis=1) for c in COUNTS}
-            p, r = s["tp"] / np.maximum(s["n_pred"], 1), s["tp"] / np.maximum(s["n_gold"], 1)
-            return {"f1": 2 * p * r / np.maximum(p + r, 1e-12), "full_masked_rate": s["full"] / np.maximum(s["n_gold"], 1)}
-
-        a = metrics("")
-        d = a if not paired else {k: a[k] - v for k, v in metrics("o_").items()}
-        rows = [(k, v.mean(), np.percentile(v, 2.5), np.percentile(v, 97.5), min(1.0, 2 * min((v <= 0).mean(), (v >= 0).mean()))) for k, v in d.items()]
-        return pd.DataFrame(rows, columns=["metric", "mean", "lo", "hi", "p"])
+def bootstrap(clusters: DataFrame, key: str, n_iter: int = 1000, seed: int = 0, other: DataFrame | None = None) -> DataFrame:
+    """(metric, mean, lo, hi, p): intervals (2.5 and 97.5 percentiles) of strict F1 and share fully masked over clusters drawn with replacement; with
+    `other`, of the differences on the same draws, with a two-sided p.
 
-    return both.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(lambda pdf: run(pdf.drop(columns="__one")), "metric string, mean double, lo double, hi double, p double")
+    Each cluster is in each draw as often as a Poisson count of mean 1 says, which is taken from a hash of the seed, its key and the draw; so
+    clusters of any number are summed where they lie, and one row of sums of each draw is shuffled. No clusters: no rows.
+    """
+    paired = other is not None
+    both = clusters if not paired else clusters.join(other.select(key, *[F.col(c).alias(f"o_{c}") for c in COUNTS]), key, "full")
+    fields = [*COUNTS, *([f"o_{c}" for c in COUNTS] if paired else [])]
+    drawn = both.select(key, *fields).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_iter - 1))))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), "draw"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    times = F.lit(len(_POISSON))
+    for k in range(len(_POISSON) - 1, -1, -1):
+        times = F.when(F.col("u") < _POISSON[k], k).otherwise(times)
+    drawn = drawn.withColumn("u", u).withColumn("times", times).filter("times > 0")
+    sums = drawn.groupBy("draw").agg(*[F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("times")).alias(c) for c in fields])
+
+    def metrics(prefix: str) -> dict[str, Column]:
+        c = {x: F.col(prefix + x) for x in COUNTS}
+        return {"f1": precision_recall_f(c["tp"], c["n_pred"], c["n_gold"])[2], "full_masked_rate": safe_ratio(c["full"], c["n_gold"])}
+
+    a = metrics("")
+    d = {k: v - metrics("o_")[k] for k, v in a.items()} if paired else a
+    values = sums.select(F.explode(F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v)])).alias("metric", "v"))
+    p = F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("v") <= 0).cast("double")), F.avg((F.col("v") >= 0).cast("double"))))
+    return values.groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"), p.alias("p"))
 
 
 def verdict(lo: Column, hi: Column, lower_is_better: Column) -> Column:

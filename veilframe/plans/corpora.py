@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from veilframe.functions.checks import digit_count, is_inn, is_luhn, is_snils
 from veilframe.functions.synth import corrupted, filled, made_inn, made_phone, made_snils, rejections
 from veilframe.functions.text import collapsed, decline_patronymic, decline_surname, plain_yo, word_set
-from veilframe.operators.chats import anonymized_conversations, batch, conversation_contacts, conversation_messages, entity_totals
+from veilframe.operators.chats import anonymized_conversations, batch, conversation_contacts, entity_totals, message_counts
 from veilframe.operators.corpus import accepted_in_order, duplicate_classes, first_copies, near_duplicates, not_held_out, shared_words
 from veilframe.operators.evaluation import canonical_type
 from veilframe.plans.registry import query
-from veilframe.session import shared_dir, table
+from veilframe.session import forget, shared_dir, table
 from veilframe.sources.readers import handler_of, occurrences
 from veilframe.sources.tagging import spans_of_tags, tags_of, tokens_of
 
@@ -63,8 +63,7 @@ def flt_clean(spark, sf_dir):
 select entity_type, cast(count(*) as bigint) as n, cast(count(distinct rec_id) as bigint) as n_records, cast(count(distinct entity_value) as bigint) as n_values from ru_training_data group by grouping sets ((entity_type), ())""")
 def ag_type(spark, sf_dir):
     t = table(spark, sf_dir, "ru_training_data")
-    t.createOrReplaceTempView("__labelled")
-    return spark.sql("select entity_type, count(*) as n, count(distinct rec_id) as n_records, count(distinct entity_value) as n_values from __labelled group by grouping sets ((entity_type), ())")
+    return t.groupingSets([["entity_type"], []], "entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rec_id").alias("n_records"), F.countDistinct("entity_value").alias("n_values"))
 
 
 @query("ag_name_slice", r"""
@@ -115,14 +114,12 @@ def so_msgs(spark, sf_dir):
 with m as (select distinct id, conversation_id from messages where id is not null), c as (select distinct id from conversations where id is not null)
 select c.id, cast(count(m.id) as int) as n_messages from c left join m on m.conversation_id = c.id group by c.id""")
 def jn_conv_msg(spark, sf_dir):
-    c = conversation_messages(table(spark, sf_dir, "conversations").select("id", "updated_at"), table(spark, sf_dir, "messages").select("id", "conversation_id", "created_at", "content", "updated_at"))
-    return c.select("id", F.coalesce(F.size("messages"), F.lit(0)).alias("n_messages"))
+    return message_counts(table(spark, sf_dir, "conversations").select("id", "updated_at"), table(spark, sf_dir, "messages").select("id", "conversation_id", "updated_at"))
 
 
 @query("jn_conv_contact", "select distinct v.id, coalesce(v.contact_id, -1) as contact_id, c.id is not null as known from conversations v left join (select distinct id from contacts) c on c.id = v.contact_id where v.id is not null")
 def jn_conv_contact(spark, sf_dir):
-    known = table(spark, sf_dir, "contacts").withColumn("name", F.coalesce("name", F.lit("")))
-    return conversation_contacts(table(spark, sf_dir, "conversations"), known).select("id", F.coalesce("contact_id", F.lit(-1)).alias("contact_id"), F.col("name").isNotNull().alias("known"))
+    return conversation_contacts(table(spark, sf_dir, "conversations"), table(spark, sf_dir, "contacts")).select("id", F.coalesce("contact_id", F.lit(-1)).alias("contact_id"), "known")
 
 
 @query("jn_batch_in", "select cast((select count(*) from deletions where table_name = 'conversations') as bigint) as total, cast((select count(distinct id) from conversations where id in (select record_id from deletions where table_name = 'conversations')) as bigint) as processed")
@@ -279,6 +276,7 @@ def _stream_webhook(spark, sf_dir, names=None):
     m = m.groupBy("id", "content").agg(F.min("conversation_id").alias("conversation_id"))
     m.select(F.to_json(F.struct(F.lit("message_created").alias("event"), "id", "content", F.struct(F.col("conversation_id").alias("id")).alias("conversation"))).alias("value")).write.text(f"{at}/in")
     run_webhook(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint", names=names).awaitTermination()
+    forget(spark, at)  # deleted with the written tables
     return spark.read.parquet(f"{at}/out").select(F.col("id").cast("int").alias("id"), "n_entities")
 
 

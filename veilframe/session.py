@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -66,6 +67,11 @@ def written_path(df: DataFrame, name: str = "stage") -> str:
     return path
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a folder of the shared directory deleted with the written tables."""
+    _written.append((spark, path))
+
+
 def drop_written() -> None:
     """Delete the tables of written(); results that still read them become invalid."""
     while _written:
@@ -88,7 +94,9 @@ def ship(spark: SparkSession) -> None:
     if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_veilframe_shipped", False):
         return
     sc._veilframe_shipped = True
-    at = os.path.join(tempfile.mkdtemp(prefix="veilframe-code-"), "veilframe.zip")
+    folder_ = tempfile.mkdtemp(prefix="veilframe-code-")  # the driver's own; it is gone when the driver ends
+    atexit.register(shutil.rmtree, folder_, ignore_errors=True)
+    at = os.path.join(folder_, "veilframe.zip")
     with zipfile.ZipFile(at, "w") as z:
         for folder, _, files in os.walk(os.path.join(home, "veilframe")):
             for f in files:
