@@ -11,6 +11,7 @@ from veilframe.llm.entities import find_personal_data, fit, labelled_examples
 from veilframe.llm.languages import document_languages, found_languages
 from veilframe.llm.lookalikes import lookalike_pairs
 from veilframe.llm.mixing import mix_report, mix_sources
+from veilframe.llm.oracle import P1_FOUND_SQL, P1_REPORT_SQL, P3_FOUND_SQL, P5_FOUND_SQL
 from veilframe.llm.overlap import cross_split_overlaps, overlap_counts, overlap_report
 from veilframe.llm.packing import pack_documents, packing_report, sized_documents
 from veilframe.llm.restatements import restatement_groups, restatement_pairs
@@ -131,4 +132,4 @@ from n where conversation_id in (select conversation_id from k) and conversation
 """
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p6_found": p6_found, "p6_masked": p6_masked, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_documents": p9_documents}
-ORACLE: dict[str, str] = {"p2_found": P2_FOUND_SQL}
+ORACLE: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL}
