@@ -1,6 +1,10 @@
 import datetime as dt
+import random
+
+from pyspark.sql import functions as F
 
 from veilframe.llm import conversations as cv
+from veilframe.llm.conversations import WEIGHTS, estimate_weights, link_accuracy, link_features, planted_channels, reply_links
 
 SCHEMA = "id int, conversation_id int, sender_type string, message_type int, content string, private boolean, created_at timestamp_ntz, updated_at timestamp_ntz, turn_no int"
 
@@ -57,3 +61,27 @@ def test_whole_conversation_is_scored_alike_over_blocks(spark):
     t = cv.turns(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(1,)], "id int"))
     key = lambda df: sorted((r["turn_no"], r["parent_no"] or 0, r["thread_no"]) for r in df.collect())
     assert key(cv.link_trees(cv.reply_links(t))) == key(cv.link_trees(cv.reply_links(t, block=8), 8))
+
+
+def test_planted_threads_are_disentangled_with_estimated_weights(spark):
+    """Pairs of interleaved conversations whose turns repeat an order code of their own: parents are known, weights are estimated on other channels."""
+    r = random.Random(4)
+    rows, day = [], dt.datetime(2024, 1, 1)
+    for c in range(120):
+        at = day + dt.timedelta(days=c)
+        for k in range(r.randint(3, 6)):
+            at += dt.timedelta(seconds=r.randint(5, 400))
+            who = "customer" if k % 2 == 0 else "agent"
+            text = f"{r.choice(['да', 'нет', 'хорошо', 'вот'])} заказ {700000 + c} {r.choice(['ждём', 'готов', 'где'])}"
+            rows.append((c, k + 1, c * 10 + k, who, at, text))
+    t = spark.createDataFrame(rows, "conversation_id long, turn_no long, message_id long, speaker string, created_at timestamp_ntz, text string")
+    t = t.select("conversation_id", "turn_no", "message_id", "speaker", "created_at", link_features(F.col("text")).alias("said"))
+    w = estimate_weights(planted_channels(t, 1))
+    held = planted_channels(t, 2)
+    assert held.count() == len(rows) and held.filter("true_parent >= turn_no").count() == 0
+    assert held.filter("true_parent is null").count() == 120 and held.select("conversation_id").distinct().count() == 60
+    got = link_accuracy(held, reply_links(held.drop("true_parent"), weights=w)).first()
+    assert got["n_turns"] == len(rows) and got["n_right"] >= 0.85 * len(rows)
+    assert w["codes"] > 1
+    none = planted_channels(t.limit(0))
+    assert none.count() == 0 and estimate_weights(none) == WEIGHTS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilframe.operators.ranking import spread_rank
@@ -13,6 +14,10 @@ INVISIBLE = r"[\s\p{Z}\p{Cc}\p{Cf}\x{34f}\x{3164}\x{115f}\x{1160}\x{fe00}-\x{fe0
 LOOKBACK = None
 #: Rows of one task's block of a conversation.
 BLOCK = 512
+#: What a link is scored by, and the weights used where none are estimated; `opens` is the score of opening a thread.
+WEIGHTS = {"time": 1.2, "turns": 0.9, "speaker": 0.6, "words": 1.5, "codes": 1.5, "names": 0.4, "answer": 0.3, "opens": 0.75}
+#: Planted channels that weights are estimated on, at most, and turns of a channel among them.
+PLANTED, PLANTED_TURNS = 400, 60
 
 
 def speaker_of(sender_type: Column, message_type: Column) -> Column:
@@ -57,11 +62,11 @@ def turns(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     m = m.filter("id is not null and conversation_id is not null").filter(usable)
     m = m.select(
         F.col("id").cast("long").alias("message_id"), F.col("conversation_id").cast("long").alias("conversation_id"),
-        speaker_of(F.col("sender_type"), F.col("message_type")).alias("speaker"), "created_at", "updated_at", link_features(F.col("content")).alias("said"),
+        speaker_of(F.col("sender_type"), F.col("message_type")).alias("speaker"), "created_at", "updated_at", "content",
     )
     never = F.to_timestamp_ntz(F.lit("0001-01-01 00:00:00"))
     latest = F.struct(F.coalesce("updated_at", never), "conversation_id", F.coalesce("created_at", never))
-    one = m.groupBy("message_id").agg(F.max_by(F.struct("conversation_id", "speaker", "created_at", "said"), latest).alias("r")).select("message_id", "r.*")
+    one = m.groupBy("message_id").agg(F.max_by(F.struct("conversation_id", "speaker", "created_at", "content"), latest).alias("r")).select("message_id", "r.*")
     # Each conversation is judged on a partial aggregate; no conversation is gathered in a task.
     at = F.struct("created_at", "message_id")
     facts = one.groupBy("conversation_id").agg(
@@ -72,20 +77,32 @@ def turns(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     present = conversations.select(F.col("id").cast("long").alias("conversation_id"))
     sound = facts.filter("unknown = 0 and first_customer is not null and last_agent > first_customer").join(present, "conversation_id", "left_semi").select("conversation_id")
     kept = one.join(sound, "conversation_id", "left_semi")
+    kept = kept.select("conversation_id", "message_id", "speaker", "created_at", link_features(F.col("content")).alias("said"))
     return spread_rank(kept, ["conversation_id"], ["created_at", "message_id"], "turn_no")
 
 
-def reply_links(turns_: DataFrame, lookback: int | None = LOOKBACK, block: int = BLOCK) -> DataFrame:
+def _features(p: Column) -> dict[str, Column]:
+    """What the link from a turn to an earlier turn p is scored by: nearness in time and in turns, change of speaker, lexical overlap, a shared code or
+    number, a mention of a name used in the other turn, and a question before an answer."""
+    both = F.size(F.array_intersect(p["words"], F.col("words")))
+    least = F.greatest(F.least(F.size(p["words"]), F.size("words")), F.lit(1))
+    gap = F.greatest(F.col("secs") - p["secs"], F.lit(0.0))
+    return {
+        "time": 1 / (1 + F.log1p(gap / 60)), "turns": 1 / (F.col("turn_no") - p["turn_no"]), "speaker": (p["speaker"] != F.col("speaker")).cast("double"), "words": both / least,
+        "codes": F.arrays_overlap(p["codes"], F.col("codes")).cast("double"), "names": F.arrays_overlap(p["names"], F.col("words")).cast("double"), "answer": (p["asks"] & ~F.col("asks")).cast("double"),
+    }
+
+
+def reply_links(turns_: DataFrame, lookback: int | None = LOOKBACK, block: int = BLOCK, weights: dict[str, float] | None = None) -> DataFrame:
     """Adds parent_no, the turn answered by this one (null: it opens a thread), and link_score.
 
-    Each turn before a turn (of the last `lookback`, if given) is scored: nearness in time and in turns, change of
-    speaker, a shared rare form (codes and numbers), lexical overlap of words, a mention of a
-    name used in the other turn, and a question before an answer. The best score wins; on ties the
-    nearest turn. A turn scoring under the opening score on every candidate opens a thread. A
+    Each turn before a turn (of the last `lookback`, if given) is scored (see _features; weights: WEIGHTS, or those of estimate_weights). The best score wins; on ties the
+    nearest turn. A turn scoring under the weight `opens` on every candidate opens a thread. A
     conversation longer than `block` is cut in blocks: a turn is scored against its own block, then
     against each earlier block, and the best of all counts, so no conversation is one task's. The work of
     a long conversation grows with the square of its turns.
     """
+    used = WEIGHTS | (weights or {})
     secs = F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(1e6)
     base = turns_.select("conversation_id", "turn_no", "message_id", "speaker", "created_at", "said.*", secs.alias("secs"))
     home = F.floor((F.col("turn_no") - 1) / block)
@@ -95,15 +112,10 @@ def reply_links(turns_: DataFrame, lookback: int | None = LOOKBACK, block: int =
     near = base.withColumn("before", F.collect_list(turn).over(w))
 
     def score(p: Column) -> Column:
-        both = F.size(F.array_intersect(p["words"], F.col("words")))
-        least = F.greatest(F.least(F.size(p["words"]), F.size("words")), F.lit(1))
-        gap = F.greatest(F.col("secs") - p["secs"], F.lit(0.0))
-        return (
-            F.lit(1.2) / (1 + F.log1p(gap / 60)) + F.lit(0.9) / (F.col("turn_no") - p["turn_no"])
-            + F.when(p["speaker"] != F.col("speaker"), 0.6).otherwise(0.0) + 1.5 * both / least
-            + F.when(F.arrays_overlap(p["codes"], F.col("codes")), 1.5).otherwise(0.0) + F.when(F.arrays_overlap(p["names"], F.col("words")), 0.4).otherwise(0.0)
-            + F.when(p["asks"] & ~F.col("asks"), 0.3).otherwise(0.0)
-        )
+        total = F.lit(0.0)
+        for k, x in _features(p).items():
+            total = total + F.coalesce(x, F.lit(0.0)) * used[k]
+        return total
 
     best = F.array_max(F.transform("before", lambda p: F.struct(score(p).alias("s"), p["turn_no"].alias("n"))))
     linked = near.withColumn("best", best)
@@ -118,17 +130,13 @@ def reply_links(turns_: DataFrame, lookback: int | None = LOOKBACK, block: int =
             met = met.withColumn("before", F.filter("before", lambda p: p["turn_no"] >= F.col("turn_no") - lookback))
         far = met.select("conversation_id", "turn_no", best.alias("far")).groupBy("conversation_id", "turn_no").agg(F.max("far").alias("far"))
         linked = linked.join(far, ["conversation_id", "turn_no"], "left").withColumn("best", F.greatest("best", "far"))
-    linked = linked.withColumn("opens", F.coalesce(F.col("best.s") < OPENING_SCORE, F.lit(True)))
+    linked = linked.withColumn("opens", F.coalesce(F.col("best.s") < used["opens"], F.lit(True)))
     return linked.select(
         "conversation_id", "block", "turn_no", "message_id", "speaker", "created_at",
         F.when(~F.col("opens"), F.col("best.n")).alias("parent_no"), F.col("best.s").alias("link_score"),
     )
 
 
-#: A turn whose best link scores less opens a thread of its own.
-OPENING_SCORE = 0.75
-
-
 def link_trees(links: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds thread_no: the first turn of the tree of reply links that a turn belongs to.
 
@@ -168,10 +176,84 @@ def link_trees(links: DataFrame, block: int = BLOCK) -> DataFrame:
     return settled.join(ends, ["conversation_id", "top_no"], "left").withColumn("thread_no", F.coalesce("end_no", "top_no")).drop("top_no", "end_no", "block")
 
 
-def rebuild_conversations(messages: DataFrame, conversations: DataFrame, lookback: int | None = LOOKBACK) -> DataFrame:
+def planted_channels(turns_: DataFrame, seed: int = 0) -> DataFrame:
+    """Conversations interleaved two by two, so that the parent of every turn is known: conversation_id (of the channel), turn_no, message_id, speaker,
+    created_at, said, true_parent (the turn before it in its own conversation; null for its first).
+
+    Of each pair, in a random order, the second begins within the first quarter of an hour of the first. An odd conversation stays alone. All
+    positions are taken over many tasks (spread_rank) or by joins on the turn before, so no conversation is one task's.
+    """
+    heads = turns_.groupBy("conversation_id").agg(F.min("created_at").alias("began"))
+    order = spread_rank(heads.withColumn("h", F.xxhash64(F.lit(seed), F.col("conversation_id"))).withColumn("one", F.lit(1)), ["one"], ["h", "conversation_id"], "r")
+    pair, second = F.floor((F.col("r") - 1) / 2), (F.col("r") - 1) % 2
+    late = second * F.pmod(F.xxhash64(F.lit(seed + 1), F.col("conversation_id")), F.lit(900))
+    at = order.select("conversation_id", "began", pair.alias("channel"), late.alias("late"))
+    t = turns_.join(at, "conversation_id")
+    secs = F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(1e6) - F.unix_micros(F.col("began").cast("timestamp")) / F.lit(1e6) + F.col("late")
+    t = t.select(F.col("channel").alias("conversation_id"), F.col("conversation_id").alias("own"), F.col("turn_no").alias("own_no"), "message_id", "speaker", F.timestamp_seconds(secs).alias("created_at"), "said")
+    t = written(spread_rank(t, ["conversation_id"], ["created_at", "own", "own_no"], "turn_no"), "planted")
+    before = t.select("own", (F.col("own_no") + 1).alias("own_no"), F.col("turn_no").alias("true_parent"))
+    return t.join(before, ["own", "own_no"], "left").drop("own", "own_no")
+
+
+def link_accuracy(planted: DataFrame, links: DataFrame) -> DataFrame:
+    """(n_turns, n_right, n_linked, n_linked_right, n_opening, n_opening_right): of the turns of planted channels those with the right parent, apart for turns with a parent and without."""
+    j = planted.select("conversation_id", "turn_no", "true_parent").join(links.select("conversation_id", "turn_no", "parent_no"), ["conversation_id", "turn_no"])
+    right = F.col("true_parent").eqNullSafe(F.col("parent_no"))
+    opens = F.col("true_parent").isNull()
+    return j.agg(F.count(F.lit(1)).alias("n_turns"), F.count_if(right).alias("n_right"), F.count_if(~opens).alias("n_linked"), F.count_if(~opens & right).alias("n_linked_right"), F.count_if(opens).alias("n_opening"), F.count_if(opens & right).alias("n_opening_right"))
+
+
+def estimate_weights(planted: DataFrame, channels: int = PLANTED, seed: int = 5) -> dict[str, float]:
+    """Weights by which the true parents of a bounded sample of planted channels (about `channels`, of at most PLANTED_TURNS turns) are the likeliest: softmax regression over each turn's candidates and the
+    choice to open a thread. WEIGHTS where there is nothing to learn from."""
+    short = planted.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, PLANTED_TURNS))
+    total = short.count()
+    if not total:
+        return dict(WEIGHTS)
+    rate = min(1.0, channels / total)
+    some = short.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("conversation_id")), F.lit(1_000_000)) < int(rate * 1_000_000)).select("conversation_id")
+    secs = F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(1e6)
+    base = planted.join(some, "conversation_id").select("conversation_id", "turn_no", "true_parent", "speaker", "said.*", secs.alias("secs"))
+    turn = F.struct("turn_no", "speaker", "words", "codes", "names", "asks", "secs")
+    w = Window.partitionBy("conversation_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
+    names = [k for k in WEIGHTS if k != "opens"]
+
+    def row(p: Column) -> Column:
+        f = _features(p)
+        return F.array(p["turn_no"].cast("double"), *[F.coalesce(f[k], F.lit(0.0)) for k in names])
+
+    rows = base.withColumn("before", F.collect_list(turn).over(w)).filter(F.size("before") > 0).select("true_parent", F.transform("before", row).alias("f")).collect()
+    # Each turn's candidates, with the choice to open a thread as the last.
+    x, owner, gold = [], [], []
+    for i, r in enumerate(rows):
+        for v in r["f"]:
+            x.append([*v[1:], 0.0])
+            owner.append(i)
+            gold.append(r["true_parent"] is not None and v[0] == r["true_parent"])
+        x.append([0.0] * len(names) + [1.0])
+        owner.append(i)
+        gold.append(r["true_parent"] is None)
+    if not x:
+        return dict(WEIGHTS)
+    x, owner, gold = np.array(x), np.array(owner), np.array(gold, dtype=float)
+    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    v = np.array([*(WEIGHTS[k] for k in names), WEIGHTS["opens"]])
+    squares = np.full(len(v), 1e-6)
+    for _ in range(400):
+        z = x @ v
+        p = np.exp(z - np.maximum.reduceat(z, starts)[owner])
+        p /= np.add.reduceat(p, starts)[owner]
+        g = x.T @ (gold - p) / len(rows) - 1e-3 * v
+        squares += g * g
+        v += 0.3 * g / np.sqrt(squares)
+    return {k: float(a) for k, a in zip([*names, "opens"], v)}
+
+
+def rebuild_conversations(messages: DataFrame, conversations: DataFrame, lookback: int | None = LOOKBACK, weights: dict[str, float] | None = None) -> DataFrame:
     """Every turn of every kept conversation with its speaker, parent turn and thread.
 
     Columns: conversation_id, turn_no, message_id, speaker, created_at, parent_no, link_score, thread_no.
     See turns, reply_links and link_trees. Empty tables give an empty result.
     """
-    return link_trees(reply_links(turns(messages, conversations), lookback))
+    return link_trees(reply_links(turns(messages, conversations), lookback, weights=weights))

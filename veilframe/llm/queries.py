@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilframe.llm.conversations import rebuild_conversations
+from veilframe.llm.conversations import estimate_weights, link_accuracy, link_trees, planted_channels, rebuild_conversations, reply_links, turns
 from veilframe.llm.entities import find_personal_data, fit, labelled_examples
 from veilframe.llm.languages import document_languages, found_languages
 from veilframe.llm.lookalikes import lookalike_pairs
@@ -57,12 +57,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each thread (tree of reply links) of the kept conversations, with its size and whether an agent answered in it."""
-    t = p2_conversations(spark, sf_dir)
+    turns_ = written(turns(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations")), "turns")
+    weights = estimate_weights(planted_channels(turns_))
+    t = link_trees(reply_links(turns_, weights=weights))
     return t.groupBy("conversation_id", "thread_no").agg(
         F.count(F.lit(1)).alias("n_turns"), F.max("turn_no").alias("last_turn_no"), F.bool_or(F.col("speaker") == "agent").alias("has_agent"),
     )
 
 
+def p2_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parents are right in channels of two interleaved conversations each, with weights estimated on other channels."""
+    turns_ = written(turns(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations")), "turns")
+    weights = estimate_weights(planted_channels(turns_, 1))
+    held = written(planted_channels(turns_, 2), "held")
+    return link_accuracy(held, reply_links(held.drop("true_parent"), weights=weights))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(table(spark, sf_dir, "messages"), "id", "content")
 
@@ -131,5 +141,5 @@ select cast(conversation_id as bigint) as conversation_id, turn_no, cast(id as b
 from n where conversation_id in (select conversation_id from k) and conversation_id in (select id from conversations)
 """
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p5_found": p5_found, "p6_found": p6_found, "p6_masked": p6_masked, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_documents": p9_documents}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report, "p3_found": p3_found, "p3_groups": p3_groups, "p2_found": p2_found, "p2_threads": p2_threads, "p2_accuracy": p2_accuracy, "p5_found": p5_found, "p6_found": p6_found, "p6_masked": p6_masked, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_documents": p9_documents}
 ORACLE: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p3_found": P3_FOUND_SQL, "p5_found": P5_FOUND_SQL}
