@@ -62,3 +62,21 @@ def test_pairs_of_large_leaves_count_true_hits(spark):
     sets = spark.createDataFrame([(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [7, 8, 9, 10])], "cid long, set array<long>")
     large = spark.createDataFrame([(leaf, c) for leaf in (10, 11) for c in (1, 2, 3)], "leaf long, cid long")
     assert [tuple(r) for r in restatements._split_large(large, sets, {}, 0.5).collect()] == [(1, 2)] * 2
+
+
+def test_pairs_alike_in_common_words_only_are_found(spark):
+    """300 pairs that share 14 of 20 words of a stock of 40 common ones (similarity 0.70), beside 300 pairs of rare words."""
+    rng = random.Random(8)
+    stock = [f"общее{i}" for i in range(40)]
+    rows, want = [], set()
+    for k in range(300):
+        w = rng.sample(stock, 14)
+        for own in ("а", "б"):
+            rows.append((len(rows), " ".join([*w, *(f"{own}{k}x{i}" for i in range(3))])))
+        want.add((len(rows) - 2, len(rows) - 1))
+    for k in range(300):
+        for own in ("а", "б"):
+            rows.append((len(rows), " ".join([*(f"редкое{k}x{i}" for i in range(14)), *(f"{own}{k}y{i}" for i in range(3))])))
+        want.add((len(rows) - 2, len(rows) - 1))
+    got = {(r["id_a"], r["id_b"]) for r in restatement_pairs(spark.createDataFrame(rows, "rec_id long, text string")).collect()}
+    assert want <= got == _brute(rows)

@@ -135,6 +135,14 @@ _SETTLED = re.compile("[" + "".join(c for c in map(chr, (*range(65, 91), *range(
 _LETTER = re.compile(r"[^\W\d_]")
 
 
+#: Letters that Cyrillic and Latin share, and what a text has none of if only a vote of its tokens could change it.
+_SHARED = "".join(sorted(c for c in _FORMS if c.isascii()))
+_STRANGE = re.compile(r"[^\x00-\x7f\xab\xbb\u0400-\u045f\u2013\u2014\u2116\u2026\u20bd]")
+_MIXED = re.compile(rf"[A-Za-z0-9][\u0400-\u045f]|[\u0400-\u045f][A-Za-z0-9]|(?<![A-Za-z0-9])[{_SHARED}]+(?![A-Za-z0-9])")
+_LATIN_RUN = re.compile(r"[A-Za-z]+")
+_CYRILLIC_RUN = re.compile("[\u0400-\u045f]*[" + "".join(c for c in map(chr, range(0x400, 0x460)) if c.isalpha() and len(_FORMS.get(c, {})) < 2) + "][\u0400-\u045f]*")
+
+
 def consistent_form(text: str | None) -> str | None:
     """The form in which texts of the same look are equal.
 
@@ -148,6 +156,9 @@ def consistent_form(text: str | None) -> str | None:
     """
     if text is None or ((text.isascii() or not _OPEN.search(text)) and (_SETTLED.search(text) or not _LETTER.search(text))):
         return text
+    # Plain Cyrillic with Latin words and codes, each in one script, and no fewer Cyrillic words than Latin ones: the usual text.
+    if not _STRANGE.search(text) and not _MIXED.search(text) and len(_LATIN_RUN.findall(text)) <= len(_CYRILLIC_RUN.findall(text)):
+        return text
     t = text
     if _CHANGED.search(t):
         t = t.translate(_BASE)
