@@ -135,3 +135,79 @@ def rejections(similarity: Column, missing: Column, negatives: Column, damaged:
     return F.filter(F.array(
         F.when(similarity >= 0.6, "too_similar"), F.when(missing > 0, "missed_span"), F.when(negatives > 0, "false_alarm"), F.when(damaged > 0, "damaged_span"), F.when(length < 20, "too_short"),
     ), lambda x: x.isNotNull())
+
+
+def made_email(seed: Column) -> Column:
+    return F.concat(F.lit("user"), hashed_digits(seed, 6, "mail"), F.lit("@mail.test"))
+
+
+def made_passport(seed: Column) -> Column:
+    d = hashed_digits(seed, 10, "passport")
+    return F.concat_ws(" ", F.substring(d, 1, 4), F.substring(d, 5, 6))
+
+
+def made_birth_date(seed: Column) -> Column:
+    """A date dd.mm.yyyy between 1940 and 2005 that the calendar has."""
+    return F.date_format(F.date_add(F.lit("1940-01-01").cast("date"), F.pmod(F.xxhash64(F.lit("birth"), seed), F.lit(24000)).cast("int")), "dd.MM.yyyy")
+
+
+def made_card(seed: Column) -> Column:
+    """A card number of sixteen digits with the right Luhn digit, in fours."""
+
+    def whole(d: Column) -> Column:
+        total = F.lit(0)
+        for i in range(15):
+            x = F.substring(d, i + 1, 1).cast("int") * (2 if i % 2 == 0 else 1)
+            total = total + F.when(x > 9, x - 9).otherwise(x)
+        n = F.concat(d, ((10 - total % 10) % 10).cast("string"))
+        return F.concat_ws(" ", *[F.substring(n, 4 * k + 1, 4) for k in range(4)])
+
+    return let(F.concat(F.lit("4"), hashed_digits(seed, 14, "card")), whole)
+
+
+#: Street names for made addresses.
+STREETS = ("Садовая", "Лесная", "Полевая", "Речная", "Школьная", "Южная", "Северная", "Озёрная")
+
+
+def made_address(seed: Column) -> Column:
+    h = F.pmod(F.xxhash64(F.lit("address"), seed), F.lit(1_000_000))
+    street = F.element_at(F.array(*[F.lit(s) for s in STREETS]), (h % len(STREETS) + 1).cast("int"))
+    return F.concat(F.lit("ул. "), street, F.lit(", д. "), (h % 150 + 1).cast("string"), F.lit(", кв. "), (h % 311 + 1).cast("string"))
+
+
+def person_forms(given: Column, patronymic: Column, surname: Column) -> Column:
+    """Map from the name of a form to a person's name in it: full, surname_first, given_surname, given_patronymic, initials_before, initials_after, surname, lower, upper."""
+    i, o = F.concat(F.substring(given, 1, 1), F.lit(".")), F.concat(F.substring(patronymic, 1, 1), F.lit("."))
+    full = F.concat_ws(" ", given, patronymic, surname)
+    forms = {
+        "full": full, "surname_first": F.concat_ws(" ", surname, given, patronymic), "given_surname": F.concat_ws(" ", given, surname), "given_patronymic": F.concat_ws(" ", given, patronymic),
+        "initials_before": F.concat(i, o, F.lit(" "), surname), "initials_after": F.concat_ws(" ", surname, i, o), "surname": surname, "lower": F.lower(full), "upper": F.upper(full),
+    }
+    return F.create_map(*[x for k, v in forms.items() for x in (F.lit(k), v)])
+
+
+def glued(text: Column, spans: Column, seed: Column, percent: int = 12) -> Column:
+    """struct<text, spans>: at about `percent` of the spans the white space before them is taken out, so that the word before is glued to the value; spans are moved along."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start_pos"].cast("int").alias("start_pos"), s["end_pos"].cast("int").alias("end_pos"), s["entity_type"].alias("entity_type"))))
+    zero = F.struct(text.alias("text"), F.lit(0).alias("gone"), F.array().cast("array<struct<entity_type:string,start_pos:int,end_pos:int>>").alias("spans"))
+
+    def step(a: Column, s: Column) -> Column:
+        at = s["start_pos"] - a["gone"]
+        cut = (F.pmod(F.xxhash64(F.lit("glue"), seed, s["start_pos"]), F.lit(100)) < percent) & (at > 1) & (F.substring(a["text"], at, F.lit(1)) == " ") & F.substring(a["text"], at - 1, F.lit(1)).rlike(r"\p{L}")
+        n = cut.cast("int")
+        moved = F.struct(s["entity_type"], (at - n).cast("int").alias("start_pos"), (s["end_pos"] - a["gone"] - n).cast("int").alias("end_pos"))
+        t = F.when(cut, F.concat(F.substring(a["text"], F.lit(1), at - 1), F.substring(a["text"], at + 1, F.length(a["text"])))).otherwise(a["text"])
+        return F.struct(t.alias("text"), (a["gone"] + n).cast("int").alias("gone"), F.concat(a["spans"], F.array(moved)).alias("spans"))
+
+    return F.aggregate(ordered, zero, step, lambda a: F.struct(a["text"].alias("text"), a["spans"].alias("spans")))
+
+
+def mixed_parts(key: Column, shares: dict[str, int], salt: str = "mix") -> Column:
+    """The part of a mixture a row belongs to, by a hash of its key; shares in percent, the last part takes the rest."""
+    u = F.pmod(F.xxhash64(F.lit(salt), key), F.lit(100))
+    names = list(shares)
+    out, upto = F.lit(names[-1]), sum(shares[n] for n in names[:-1])
+    for n in reversed(names[:-1]):
+        out = F.when(u < upto, n).otherwise(out)
+        upto -= shares[n]
+    return out

@@ -74,3 +74,42 @@ def decline_patronymic(base: Column, gender: Column, case: Column) -> Column:
     masc = F.create_map(*[F.lit(x) for kv in PATRONYMIC_MASC.items() for x in kv])
     fem = F.create_map(*[F.lit(x) for kv in PATRONYMIC_FEM.items() for x in kv])
     return F.when(gender == "f", F.concat(F.regexp_replace(base, "а$", ""), fem[case])).otherwise(F.concat(base, masc[case]))
+
+
+#: Endings by case (nom, gen, dat, acc, ins, prep) of adjectival surnames (after -ск-, -цк-), of masculine words in a
+#: consonant and in -й or -ь, of words in -а, in -я and in -ия, and of feminine ones in -ь.
+CASES = ("nom", "gen", "dat", "acc", "ins", "prep")
+ADJECTIVE_MASC, ADJECTIVE_FEM = ("ий", "ого", "ому", "ого", "им", "ом"), ("ая", "ой", "ой", "ую", "ой", "ой")
+HARD_MASC, SOFT_MASC = ("", "а", "у", "а", "ом", "е"), (None, "я", "ю", "я", "ем", "е")
+FIRST_A, FIRST_YA, FIRST_IYA, SOFT_FEM = ("а", "ы", "е", "у", "ой", "е"), ("я", "и", "е", "ю", "ей", "е"), ("я", "и", "и", "ю", "ей", "и"), ("ь", "и", "и", "ь", "ью", "и")
+
+
+def _ending(case: Column, forms: tuple[str | None, ...], nominative: Column | None = None) -> Column:
+    out = nominative if nominative is not None else F.lit(forms[0])
+    for c, f in zip(CASES[1:], forms[1:]):
+        out = F.when(case == c, f).otherwise(out)
+    return out
+
+
+def decline_given(name: Column, gender: Column, case: Column) -> Column:
+    """A first name (nominative) in a case: in -а, -я, -ия, a consonant, -й and -ь. Other names, and feminine ones in a consonant, stay."""
+    stem, last = F.substring(name, F.lit(1), F.length(name) - 1), F.substring(name, -1, 1)
+    sibilant = stem.rlike("(?iu)[гкхжчшщ]$")
+    a = F.concat(stem, F.when(sibilant & (case == "gen"), "и").otherwise(_ending(case, FIRST_A)))
+    soft = F.when(gender == "f", F.concat(stem, _ending(case, SOFT_FEM))).otherwise(F.concat(stem, _ending(case, SOFT_MASC, last)))
+    hard = F.when(gender == "f", name).otherwise(F.concat(name, _ending(case, HARD_MASC)))
+    return (
+        F.when(name.rlike("(?iu)ия$"), F.concat(stem, _ending(case, FIRST_IYA))).when(last == "я", F.concat(stem, _ending(case, FIRST_YA))).when(last == "а", a)
+        .when(last == "й", F.when(gender == "f", name).otherwise(F.concat(stem, _ending(case, SOFT_MASC, last)))).when(last == "ь", soft).when(last.rlike("(?iu)[бвгджзклмнпрстфхцчшщ]"), hard).otherwise(name)
+    )
+
+
+def decline_family(base: Column, gender: Column, case: Column) -> Column:
+    """A surname given in the masculine nominative, of any kind: in -ов and the like (decline_surname), adjectival in -ский and -цкий, in a consonant, -й or -ь (feminine ones stay); others stay."""
+    stem = F.substring(base, F.lit(1), F.length(base) - 2)
+    adjective = F.concat(stem, F.when(gender == "f", _ending(case, ADJECTIVE_FEM)).otherwise(_ending(case, ADJECTIVE_MASC)))
+    consonant = base.rlike("(?iu)[бвгджзйклмнпрстфхцчшщь]$")
+    return (
+        F.when(base.rlike("(?iu)(ов|ев|ёв|ин|ын)$"), decline_surname(base, gender, case)).when(base.rlike("(?iu)(ск|цк)ий$"), adjective)
+        .when(consonant, F.when(gender == "f", base).otherwise(decline_given(base, F.lit("m"), case))).otherwise(base)
+    )

@@ -26,7 +26,7 @@ def anonymize(df: DataFrame, column: str, disable: Column | None = None, names:
     """Adds anonymized, entities_found and mapping for a text column.
 
     Null stays null; texts without entities are unchanged. Without return_mapping the values are blanked and the mapping is empty.
-    Only texts with a digit, '@' or capital letter beside a word, i.e. any that may hold an entity, are looked at by the rules' own hints.
+    Each rule looks only at texts that its own hint, a plain pattern, is found in.
     """
     out = df.withColumn("entities_found", entities(F.col(column), disable, names, extra, lexicon))
     out = out.withColumn("anonymized", F.when(F.size("entities_found") == 0, F.col(column)).otherwise(spliced(F.col(column), F.col("entities_found"))))

@@ -94,6 +94,11 @@ def disabled_types(asked: Column) -> Column:
     return F.array_intersect(F.transform(F.coalesce(asked, F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), F.array(*[F.lit(x) for x in POLICY]))
 
 
+def listed_types(form: Column) -> Column:
+    """The types named in a form field such as "PERSON, INN": parted by commas, without spaces and empty items. Null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(form, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def without(spans: Column, types: Column) -> Column:
     """Spans whose type isn't switched off; a type without a placeholder of its own goes by PII."""
     kind = lambda s: F.when(s["entity_type"].isin(*PLACEHOLDERS), s["entity_type"]).otherwise("PII")

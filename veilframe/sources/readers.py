@@ -69,7 +69,8 @@ def tags_from_ids(ids: Column, labels: list[str]) -> Column:
 
 def occurrences(text: Column, value: Column) -> Column:
     """(start_pos, end_pos) of every occurrence of a literal value, from the left, without overlap."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1)
+    literal = F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))  # a value may hold the mark that ends a quotation
+    parts = F.split(text, F.concat(F.lit("\\Q"), literal, F.lit("\\E")), -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start_pos:int,end_pos:int>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
