@@ -126,15 +126,23 @@ def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, ta
 
 
 def _split_large(large: DataFrame, sets: DataFrame, common: dict[int, int], threshold: float) -> DataFrame:
-    """Candidate pairs of large leaves, once for each leaf that has them: members that share a word of their prefixes in the order from rare to common."""
+    """Candidate pairs of large leaves, once for each leaf that has them: members that share a word of their prefixes in the order from rare to common.
+
+    A pair is taken at the first word both prefixes have, if the sizes are near enough and enough words are left behind it in both sets; no similar pair fails
+    this. Words go by 32 bits; a coincidence in two prefixes could lose a pair, with a chance of about one in ten million, far below that of the forest itself.
+    """
     known = sets.sparkSession.createDataFrame(list(common.items()) or [(0, 0)], "w long, n_classes long")
     member = large.select("cid").distinct().join(sets, "cid").withColumn("need", F.size("set") - F.ceil(threshold * F.size("set") - 1e-9) + 1)
-    words = member.select("cid", "need", F.explode("set").alias("w")).join(known, "w", "left")
-    order = Window.partitionBy("cid").orderBy(F.coalesce("n_classes", F.lit(0)), "w")
-    prefix = words.withColumn("k", F.row_number().over(order)).filter("k <= need").groupBy("cid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda x: x["w"]).alias("prefix"))
-    left = large.select("leaf", "cid").join(prefix, "cid").select("leaf", "cid", "prefix", F.explode("prefix").alias("w"))
-    pairs = left.select("leaf", "w", F.col("cid").alias("a"), F.col("prefix").alias("pa")).join(left.select("leaf", "w", F.col("cid").alias("b"), F.col("prefix").alias("pb")), ["leaf", "w"]).filter("a < b")
-    return pairs.filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("w")).select("a", "b")  # at the first word both prefixes have
+    words = member.select("cid", "need", F.size("set").alias("size"), F.explode("set").alias("w")).join(known, "w", "left")
+    order = Window.partitionBy("cid").orderBy(F.coalesce("n_classes", F.lit(0)), F.hash("w"), "w")
+    prefix = words.withColumn("k", F.row_number().over(order)).filter("k <= need").groupBy("cid", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.hash("w").alias("w")))), lambda x: x["w"]).alias("prefix"))
+    left = large.select("leaf", "cid").join(prefix, "cid").select("leaf", "cid", "size", "prefix", F.posexplode("prefix").alias("k", "w"))
+    left = left.withColumn("rest", F.col("size") - F.col("k"))  # this word and those behind it
+    x = left.select("leaf", "w", F.col("cid").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("prefix").alias("pa"))
+    y = left.select("leaf", "w", F.col("cid").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("prefix").alias("pb"))
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (F.least("ra", "rb") >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = x.join(y, ["leaf", "w"]).filter(near)
+    return pairs.filter(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("w")).select("a", "b")
 
 
 def record_classes(records: DataFrame) -> DataFrame:
