@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from veilframe.llm import restatements
 from veilframe.llm.restatements import restatement_groups, restatement_pairs
 
@@ -80,3 +82,13 @@ def test_pairs_alike_in_common_words_only_are_found(spark):
         want.add((len(rows) - 2, len(rows) - 1))
     got = {(r["id_a"], r["id_b"]) for r in restatement_pairs(spark.createDataFrame(rows, "rec_id long, text string")).collect()}
     assert want <= got == _brute(rows)
+
+
+def test_bits_never_say_that_more_words_are_lacking_than_are():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 300))) for _ in range(40)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 2 // 3 + 1], rng.integers(-(2**62), 2**62, 5)])) for s in sets]
+    bits = restatements.word_bits(sets).view(np.uint64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(bits[i] & ~bits[j]).sum() <= len(set(a.tolist()) - set(b.tolist()))

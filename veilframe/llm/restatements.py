@@ -64,8 +64,18 @@ def least_recall(threshold: float, depth: int, trees: int) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
+def word_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two numbers: a bit is set if a word falls on it. Of two sets, the one has at least as many words that the other lacks as it has such bits."""
+    lengths = np.array([len(s) for s in sets])
+    flat = _mix(np.concatenate(sets).view(np.uint64))
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    bit = np.uint64(1) << (flat & np.uint64(63))
+    high = (flat >> np.uint64(6)) & np.uint64(1)
+    return np.stack([np.bitwise_or.reduceat(np.where(high == k, bit, np.uint64(0)), starts) for k in (0, 1)], axis=1).view(np.int64)
+
+
 def forest_leaves(classes: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
-    """(leaf, cid) for each class and tree: the tree's labels cut to a prefix of `depth`."""
+    """(leaf, cid, size, b0, b1) for each class and tree: the tree's labels cut to a prefix of `depth`, the number of words, and word_bits."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -74,19 +84,25 @@ def forest_leaves(classes: DataFrame, depth: int, trees: int = TREES) -> DataFra
                 sets = [np.asarray(s, dtype=np.int64) for s in part["set"]]
                 sig = signatures(sets, trees * depth).reshape(len(sets), trees, depth)
                 with np.errstate(over="ignore"):
+                    bits = word_bits(sets)
                     key = np.broadcast_to(_mix(np.arange(1, trees + 1, dtype=np.uint64)), (len(sets), trees)).copy()
                     for d in range(depth):
                         key = _mix(key * np.uint64(31) + sig[:, :, d])
-                yield pd.DataFrame({"leaf": key.view(np.int64).ravel(), "cid": np.repeat(part["cid"].to_numpy(), trees)})
+                size = np.array([len(s) for s in sets], dtype=np.int32)
+                yield pd.DataFrame({"leaf": key.view(np.int64).ravel(), "cid": np.repeat(part["cid"].to_numpy(), trees), "size": np.repeat(size, trees), "b0": np.repeat(bits[:, 0], trees), "b1": np.repeat(bits[:, 1], trees)})
 
-    return classes.select("cid", "set").mapInPandas(emit, "leaf long, cid long")
+    return classes.select("cid", "set").mapInPandas(emit, "leaf long, cid long, size int, b0 long, b1 long")
 
 
-def _pairs_of(leaves: DataFrame) -> DataFrame:
-    """The pairs within each bounded leaf, and the number of leaves that have each."""
-    g = leaves.groupBy("leaf").agg(F.array_sort(F.collect_set("cid")).alias("ids"))
-    one = g.select("ids", F.posexplode("ids").alias("i", "a"))
-    return one.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("b"))
+def _pairs_of(leaves: DataFrame, threshold: float) -> DataFrame:
+    """The pairs within each bounded leaf that sizes and bits allow to be similar, once for each leaf that has them."""
+    member = F.struct("cid", "size", "b0", "b1")
+    g = leaves.groupBy("leaf").agg(F.array_sort(F.collect_set(member)).alias("ids"))
+    one = g.select("ids", F.posexplode("ids").alias("i", "x"))
+    two = one.select("x", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("y"))
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}.{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{k}")))) for k in ("b0", "b1")), F.lit(0))
+    shared = F.least(F.col("x.size") - lacks("x", "y"), F.col("y.size") - lacks("y", "x"))
+    return two.filter(shared >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
 
 
 def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
@@ -97,7 +113,7 @@ def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, ta
     prefix whose recall at the threshold reaches the target is taken (0.9999 for the defaults); where none does,
     there are more trees. It is shortened further while the estimated recall is below the target.
     The estimate is that of unseen species: with f1 and f2 the similar pairs met in one and two trees, f1^2 / (2 f2)
-    are expected to be unseen. Candidates are verified exactly. A leaf with more than LEAF members is
+    are expected to be unseen. Candidates whose sizes and word bits can't reach the threshold go at once, the others are verified exactly. A leaf with more than LEAF members is
     split by the rare words that a similar pair must share (prefix filter from rare to common), which loses no pair.
     """
     common = common_words(classes)
@@ -109,7 +125,7 @@ def similar_classes(classes: DataFrame, threshold: float, trees: int = TREES, ta
             continue
         leaves = forest_leaves(classes, depth, trees).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leaf"))).filter("n > 1")
         leaves = written(leaves, "leaves")
-        met = _pairs_of(leaves.filter(F.col("n") <= LEAF))
+        met = _pairs_of(leaves.filter(F.col("n") <= LEAF), threshold)
         large = leaves.filter(F.col("n") > LEAF)
         if not large.isEmpty():
             met = met.unionByName(_split_large(large, sets, common, threshold))
